@@ -10,8 +10,25 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .decontaminate import decontaminate
+from .langid import fit_languages, identify_languages
+from .mixing import apply_cuts, source_cuts, with_keys
+from .quality import fit_rules, judge_quality
+from .store import materialize
 from .tokenbin import token_output
 from .tokencount import count_tokens
+from .urlfilter import UrlRule, filter_urls
+
+#: Host rules and, for what none of them fits, patterns of spam hosts.
+URL_RULES = [
+    UrlRule("net/", "block"),
+    UrlRule("example.net/en/", "allow"),
+    UrlRule("example.com/de/", "block"),
+    UrlRule("org/fr/", "allow"),
+    UrlRule("^cheap-pills^", "block", is_pattern=True),
+    UrlRule("^spam-farm^", "block", is_pattern=True),
+    UrlRule("^casino^", "block", is_pattern=True),
+    UrlRule("^porn^", "block", is_pattern=True),
+]
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,12 +44,37 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    keyed = materialize(with_keys(docs).drop("text"), "keys")
+    return apply_cuts(keyed, source_cuts(keyed)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = fit_languages(docs, where=~held_out & F.col("doc_id").isNotNull())
+    judged = identify_languages(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = fit_rules(docs, table(spark, sf_dir, "labels"))
+    return judge_quality(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = token_output(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -42,13 +84,17 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_mix_sources": op2_mix_sources,
+        "op3_url_filter": op3_url_filter,
+        "op4_language_id": op4_language_id,
         "op7_token_counts": op7_token_counts,
+        "op8_quality_rules": op8_quality_rules,
         "op10_token_output": op10_token_output,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_mix_sources": OP2_SQL, "op3_url_filter": OP3_SQL}
 
 
 OP1_SQL = r"""
@@ -72,3 +118,56 @@ SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit,
   sha256(coalesce(t.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, length(coalesce(text, '')) AS chars,
+    md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '#', coalesce(md5(text), ''))) AS h
+  FROM documents),
+k AS (
+  SELECT doc_id, source, size, h,
+    -ln((CAST(concat('0x', substr(h, 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+    / greatest(0.25::DOUBLE, 1.0::DOUBLE - abs(CASE WHEN size = 0 THEN 0.0::DOUBLE ELSE CAST(chars AS DOUBLE) / CAST(size AS DOUBLE) END - 6.0::DOUBLE) / 12.0::DOUBLE) AS key
+  FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
+w AS (
+  SELECT source, source_size, CAST(([3, 1, 2])[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS DOUBLE) AS weight,
+    2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS budget
+  FROM s),
+l AS (
+  SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+    / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+    row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place
+  FROM w),
+t AS (
+  SELECT source, source_size, CASE WHEN level * weight >= cap THEN cap ELSE weight * (SELECT m.level FROM l m WHERE m.level * m.weight < m.cap ORDER BY m.place LIMIT 1) END AS target
+  FROM l),
+e AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS BIGINT) END AS epochs FROM t),
+o AS (
+  SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
+    sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS after
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST((epochs + CASE WHEN 2 * after - size <= 2 * rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM o
+"""
+
+OP3_SQL = r"""
+WITH u AS (
+  SELECT page_id, url, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, lower(coalesce(url, '')) AS url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u),
+r AS (
+  SELECT *, CASE
+    WHEN regexp_matches(host, '(^|\.)example\.net$') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN regexp_matches(host, '(^|\.)example\.com$') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN regexp_matches(host, '(^|\.)org$') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN regexp_matches(host, '(^|\.)net$') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM p)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN regexp_matches(url, '(^|[\x00-\x2F\x3A-\x60\x7B-\x7F])(cheap-pills|spam-farm|casino|porn)($|[\x00-\x2F\x3A-\x60\x7B-\x7F])') THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
