@@ -142,9 +142,9 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int, whole_short: bool) ->
     if whole_short and (short := np.flatnonzero((counts > 0) & (counts < k))).size:
         extra = np.empty(len(short), np.uint64)
         for j, d in enumerate(short):
-            x = np.uint64(counts[d])
-            for w in words[first[d] : first[d + 1]]:
-                x = x * _ROOT + w
+            x = int(counts[d])
+            for w in words[first[d] : first[d + 1]].tolist():
+                x = (x * int(_ROOT) + w) & 0xFFFFFFFFFFFFFFFF
             extra[j] = x
         extra = mix(extra ^ _ROOT)
         h = np.insert(h, starts[short], extra)

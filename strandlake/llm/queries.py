@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from ..store import materialize
+from .bagminhash import near_duplicates
 from .decontaminate import decontaminate
 from .langid import fit_languages, identify_languages
 from .mixing import apply_cuts, source_cuts, with_keys
 from .quality import fit_rules, judge_quality
-from .store import materialize
 from .tokenbin import token_output
 from .tokencount import count_tokens
 from .urlfilter import UrlRule, filter_urls
@@ -75,6 +76,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = token_output(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -89,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op7_token_counts": op7_token_counts,
         "op8_quality_rules": op8_quality_rules,
+        "op9_near_duplicates": op9_near_duplicates,
         "op10_token_output": op10_token_output,
     }
 

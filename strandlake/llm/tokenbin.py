@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from .arrow import map_arrow
 from .kernel import slices
-from .store import materialize, new_path
+from ..store import materialize, new_path
 
 MAGIC = b"SLBITS01"
 BLOCK_IDS = 1 << 16
