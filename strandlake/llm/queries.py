@@ -15,6 +15,7 @@ from .decontaminate import decontaminate
 from .langid import fit_languages, identify_languages
 from .mixing import apply_cuts, source_cuts, with_keys
 from .quality import fit_rules, judge_quality
+from .suffixdedup import remove_repeats
 from .tokenbin import token_output
 from .tokencount import count_tokens
 from .urlfilter import UrlRule, filter_urls
@@ -64,6 +65,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -92,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mix_sources": op2_mix_sources,
         "op3_url_filter": op3_url_filter,
         "op4_language_id": op4_language_id,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op7_token_counts": op7_token_counts,
         "op8_quality_rules": op8_quality_rules,
         "op9_near_duplicates": op9_near_duplicates,
