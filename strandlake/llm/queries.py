@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from ..store import materialize
 from .bagminhash import near_duplicates
+from .chaindedup import passage_classes
 from .decontaminate import decontaminate
 from .langid import fit_languages, identify_languages
 from .mixing import apply_cuts, source_cuts, with_keys
@@ -71,6 +72,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_chain_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passage_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    partners = F.array_sort(F.array_distinct(F.transform("passages", lambda p: p["partner_id"])))
+    return found.select("doc_id", "class_id", "n_links", F.size("passages").cast("long").alias("n_passages"), partners.alias("partners"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -100,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filter": op3_url_filter,
         "op4_language_id": op4_language_id,
         "op5_suffix_dedup": op5_suffix_dedup,
+        "op6_chain_dedup": op6_chain_dedup,
         "op7_token_counts": op7_token_counts,
         "op8_quality_rules": op8_quality_rules,
         "op9_near_duplicates": op9_near_duplicates,

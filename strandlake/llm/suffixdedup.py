@@ -40,7 +40,7 @@ from .arrow import map_arrow
 from .kernel import BYTE_VALUE, _powers, mix, text_bytes
 
 LENGTH, GRAM = 50, 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 100_000
 #: Bytes of text whose anchors are computed at once.
 _PART = 1 << 20
 #: Blocks and anchors of each that splitters are sampled from.
@@ -193,7 +193,7 @@ def make_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -
     """Blocks of whole documents, with ``block`` as their number; stored."""
 
     def work(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        ids, valid, lens, texts, size = [], [], [], [], 0
+        ids, valid, lens, texts, size, n_docs = [], [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
             data = b"".join(texts)
@@ -208,14 +208,16 @@ def make_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -
             at = 0
             while at < batch.num_rows:
                 upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + block_bytes - size, side="right")) - 1)
+                upto = min(upto, at + BLOCK_DOCS - n_docs)
                 ids.append(number[at:upto])
                 valid.append(known[at:upto])
                 lens.append(np.diff(offsets[at : upto + 1]))
                 texts.append(data[offsets[at] : offsets[upto]].tobytes())
                 size += len(texts[-1])
-                if size >= block_bytes or upto < batch.num_rows:
+                n_docs += upto - at
+                if size >= block_bytes or n_docs >= BLOCK_DOCS or upto < batch.num_rows:
                     yield flush()
-                    ids, valid, lens, texts, size = [], [], [], [], 0
+                    ids, valid, lens, texts, size, n_docs = [], [], [], [], 0, 0
                 at = upto
         if ids:
             yield flush()
