@@ -1 +1,6 @@
+"""Registered queries over the input tables."""
 
+from . import curation, graphs, similarity
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "curation", "graphs", "similarity"]
