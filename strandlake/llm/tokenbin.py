@@ -45,7 +45,11 @@ _TAIL = struct.Struct("<QQQQ8s")
 #: Pieces whose ids a worker remembers at most, and the longest of them in bytes.
 MEMORY_PIECES, MEMORY_BYTES = 800_000, 64
 CALL_BYTES = 1 << 20
-_ASCII_RUNS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+#: The pre-tokenizer's pattern (a fixed value of the vocabulary's format), and the same over lower-cased Latin-1 bytes.
+_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_L, _N, _S = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", rb"0-9\xb2\xb3\xb9\xbc-\xbe", rb"\t-\r \x85\xa0"
+_LATIN_RUNS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[%b]+|[%b]|[^%b%b%b]+" % (_L, _N, _L, _N, _S))
+_LATIN_LOWER = bytes(ord(chr(b).lower()) for b in range(256))
 
 
 def width_of(vocabulary: int) -> int:
@@ -159,12 +163,15 @@ def open_shard(uri: str) -> ShardReader:
     return ShardReader(store.open_input_file(path), store.get_file_info(path).size)
 
 
-class PieceEncoder:
+class RunEncoder:
     """Ids of texts by the tokenizers library, as little-endian uint32 bytes.
 
-    The vocabulary's pre-tokenizer drops white space and matches nothing across it, so texts are
-    encoded as their ASCII-white-space-separated pieces, and ids of frequent pieces are remembered.
-    ``safe`` tells whether that holds for the vocabulary; else whole texts are encoded.
+    The vocabulary's pre-tokenizer cuts a normalised text into runs and every run's last token ends
+    a word, so a text's ids are those of its runs, one after another. In texts of Latin-1 characters
+    runs are found by the same pattern over lower-cased bytes; other texts are cut at ASCII white
+    space, which the pre-tokenizer drops. Ids of runs and pieces are remembered; new runs are encoded
+    together, as one text, and told apart by their word ends. ``safe`` tells whether the vocabulary
+    is of that kind; else, and for texts with what may be a special token, whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -178,68 +185,89 @@ class PieceEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.vocabulary = self.tok.get_vocab_size(with_added_tokens=True)
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.vocabulary = max(vocabulary.values(), default=0) + 1
         steps = (spec.get("normalizer") or {}).get("normalizers", [])
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-        self.safe = (
-            all(s["type"] in ("NFC", "Lowercase") or s["type"] == "Replace" and s["pattern"] == {"Regex": "\\s+"} and s["content"] == " " for s in steps)
-            and splits[0].get("type") == "Split" and splits[0].get("invert") and splits[0].get("behavior") == "Removed" and splits[0]["pattern"].get("Regex", "").endswith("[^\\s\\p{L}\\p{N}]+")
-            and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or any(c.isspace() for c in a["content"]) for a in spec.get("added_tokens", []))
+        self.end = spec["model"].get("end_of_word_suffix") or ""
+        self.safe = bool(
+            self.end
+            and sorted(s["type"] for s in steps) == ["Lowercase", "NFC", "Replace"]
+            and all(s["type"] != "Replace" or s["pattern"] == {"Regex": "\\s+"} and s["content"] == " " for s in steps)
+            and splits[0].get("type") == "Split" and splits[0].get("invert") and splits[0].get("behavior") == "Removed" and splits[0]["pattern"] == {"Regex": _RUNS}
+            and all(a["content"].startswith("<|") and not a["lstrip"] and not a["rstrip"] and not a["single_word"] and not any(c.isspace() for c in a["content"]) for a in spec.get("added_tokens", []))
         )
-        #: The pattern that the ASCII rule below stands for.
-        self.runs = self.safe and splits[0]["pattern"]["Regex"].split("|")[-3:] == ["[\\p{L}]+", "[\\p{N}]", "[^\\s\\p{L}\\p{N}]+"]
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Remember the ids of pieces; of ASCII pieces without an apostrophe only their letter, digit and other runs are encoded."""
-        known, whole, split = self.known, [], {}
-        for p in pieces:
-            if self.runs and p.isascii() and b"'" not in p and b"<|" not in p and len(p) <= MEMORY_BYTES:
-                split[p] = _ASCII_RUNS.findall(p.lower())
-            else:
-                whole.append(p)
-        whole.extend({r for runs in split.values() for r in runs if r not in known})
+        self.last = np.zeros(self.vocabulary, bool)
+        self.last[[i for t, i in vocabulary.items() if self.end and t.endswith(self.end)]] = True
+        self.runs: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_runs(self, runs: list[bytes]) -> list[bytes]:
+        """One call for all; a run has one word end, its last id."""
+        ids = np.array(self.tok.encode_batch_fast([b" ".join(runs).decode("latin-1")], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(runs) or ends[-1] != len(ids):
+            return self._encode([r.decode("latin-1") for r in runs])
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+
+    def _learn(self, memory: dict, wanted: set, encode) -> list:
+        """Put all that is wanted into ``memory``, emptied first where it would grow too large; the long ones are returned, to be taken out again."""
+        missing = [x for x in wanted if x not in memory]
+        if len(memory) + len(missing) > MEMORY_PIECES:
+            memory.clear()
+            missing = [*wanted]
         at = 0
-        while at < len(whole):
-            upto, size = at, 0
-            while upto < len(whole) and (upto == at or size < CALL_BYTES):
-                size += len(whole[upto])
+        while at < len(missing):
+            upto, total = at, 0
+            while upto < len(missing) and (upto == at or total < CALL_BYTES):
+                total += len(missing[upto])
                 upto += 1
-            known.update(zip(whole[at:upto], self._encode(whole[at:upto]), strict=True))
+            memory.update(zip(missing[at:upto], encode(missing[at:upto]), strict=True))
             at = upto
-        known.update([(p, b"".join(map(known.__getitem__, runs))) for p, runs in split.items()])
+        return [x for x in missing if len(x) > MEMORY_BYTES]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.safe:
-            return self._encode(texts)
-        parts, known = [t.split() for t in texts], self.known
-        distinct = set().union(*parts)
-        missing = [p for p in distinct if p not in known]
-        if len(known) + len(missing) > MEMORY_PIECES:
-            known.clear()
-            missing = [*distinct]
-        self._learn(missing)
-        out = [b"".join(map(known.__getitem__, p)) for p in parts]
-        for p in missing:
-            if len(p) > MEMORY_BYTES:
-                del known[p]
+            return self._encode([t.decode("utf-8", "replace") for t in texts])
+        latin: dict[int, list[bytes]] = {}
+        other: dict[int, list[str]] = {}
+        out: list[bytes] = [b""] * len(texts)
+        for i, t in enumerate(texts):
+            if b"<|" in t:
+                out[i] = self._encode([t.decode("utf-8", "replace")])[0]
+                continue
+            if not t.isascii():
+                try:
+                    t = t.decode().encode("latin-1")
+                except UnicodeError:
+                    other[i] = [p.decode("utf-8", "replace") for p in t.split()]
+                    continue
+            latin[i] = _LATIN_RUNS.findall(t.translate(_LATIN_LOWER))
+        for memory, parts, encode in ((self.runs, latin, self._encode_runs), (self.pieces, other, self._encode)):
+            if parts:
+                long = self._learn(memory, set().union(*parts.values()), encode)
+                for i, part in parts.items():
+                    out[i] = b"".join(map(memory.__getitem__, part))
+                for x in long:
+                    del memory[x]
         return out
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[str, RunEncoder] = {}
 
 
-def open_encoder(path: str) -> PieceEncoder:
+def open_encoder(path: str) -> RunEncoder:
     if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
+        _encoders[path] = RunEncoder(path)
     return _encoders[path]
 
 
 MANIFEST = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("uri", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
-ENCODED = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("local_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, out_uri: str, end_id: int | None, text_col: str = "text", id_col: str = "doc_id", block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -277,10 +305,10 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, uri in zip(batch.column("shard").to_pylist(), batch.column("uri").to_pylist(), strict=True):
+            for uri, base in zip(batch.column("uri").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 reader, rows, size = open_shard(uri), [], 0
                 for d, ids in enumerate(reader.documents()):
-                    rows.append({"shard": shard, "doc_id": int(reader.doc_ids[d]) if reader.valid[d] else None, "local_start": int(reader.starts[d]), "n_tokens": len(ids), "ids": ids.astype("<u4").tobytes()})
+                    rows.append({"doc_id": int(reader.doc_ids[d]) if reader.valid[d] else None, "start": base + int(reader.starts[d]), "n_tokens": len(ids), "ids": ids.astype("<u4").tobytes()})
                     size += len(ids)
                     if size >= 1 << 19:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -289,9 +317,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     n = max(1, manifest.count())
-    base = manifest.select("shard", (F.sum("n_ids").over(Window.orderBy("shard")) - F.col("n_ids")).alias("base"))  # a row for each shard
-    found = map_arrow(manifest.select("shard", "uri").repartition(n), read, ENCODED)
-    return found.join(base, "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    base = F.sum("n_ids").over(Window.orderBy("shard")) - F.col("n_ids")  # a row for each shard
+    return map_arrow(manifest.select("uri", base.alias("base")).repartition(n), read, ENCODED)
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int | None, out_uri: str | None = None, **columns: str) -> DataFrame:
