@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..store import materialize
+from ..store import discard, materialize
 from .arrow import map_arrow
 from .kernel import BYTE_VALUE, _powers, mix, text_bytes
 
@@ -197,7 +197,7 @@ def make_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -
 
         def flush() -> pa.RecordBatch:
             data = b"".join(texts)
-            row = [np.concatenate(ids).tobytes(), np.concatenate(valid).tobytes(), np.concatenate(lens).tobytes(), zstandard.ZstdCompressor(level=3).compress(data), len(data)]
+            row = [np.concatenate(ids).tobytes(), np.concatenate(valid).tobytes(), np.concatenate(lens).tobytes(), zstandard.ZstdCompressor(level=6).compress(data), len(data)]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
@@ -495,7 +495,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_buckets = int(min(max(1, -(-total // block_bytes)), 1 << 20))
     cuts, hot = sample_splitters(blocks, n_buckets, length, gram)
     answers = materialize(ask_grams(blocks, n_buckets, length, gram), "grams")
-    asked = with_answers(blocks, answers)
+    asked = materialize(with_answers(blocks, answers), "asked")
+    discard(blocks)
+    discard(answers)
     minima = materialize(ask_windows(asked, cuts, hot, n_buckets, n_buckets, length, gram), "windows")
     second = minima.groupBy("block").agg(F.collect_list(F.struct("data")).alias("answers2"))
     return cut_blocks(asked.join(second, "block", "left"), n_buckets, length, gram)
