@@ -10,11 +10,15 @@ shared levels. Only points up to the time at which all components are expected t
 made, so the work beyond one hash a shingle doesn't grow with the document.
 
 Signatures are banded. Documents of equal multisets are one node; in each bucket every node is
-held against the bucket's least node, and the true multiset overlap of such pairs is counted.
-Components of verified pairs merge. Buckets that still hold several components get further hubs
-taken from outside the first hub's component, then all pairs across components, so that a bucket
-isn't done before each of its pairs is either in one component or was verified. Within a component
-no pair is made, so a large group costs as many pairs as it has members, and nothing is capped.
+held against the bucket's hub, and the true multiset overlap of such pairs is counted. The hub is
+the node with the most company over all of its buckets: of an original and its copies, as a rule,
+the original, which is nearer to each copy than these are to each other.
+Components of verified pairs merge, and mixed buckets get one more hub from outside the first one's
+component. What is still in different components of one bucket is joined by prefixes: in the order
+"tokens that the bucket's hub lacks first", two multisets of the wanted similarity share one of the
+first (1 - threshold) of their tokens, and their parity maps differ in no more places than the sets
+may in tokens, so all other pairs are ruled out exactly inside the join, without being made. Within
+a component no pair is made; nothing is capped.
 
 Defined cases: texts without words are in a class of their own; a text of fewer words than a
 shingle is one shingle; equal ids and null ids are kept apart as rows; classes are named by the
@@ -40,7 +44,7 @@ from .kernel import ALNUM, mix, shingles, slices, span_hashes, text_bytes, word_
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
-HUB_ROUNDS = 3
+HUB_ROUNDS = 1
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = 1.0 / (1 << 53)
@@ -155,7 +159,7 @@ def sign(docs: DataFrame, text_col: str, bands: int, rows: int, shingle: int) ->
     def work(batches: Iterator[pa.RecordBatch], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, 1 << 19):
                 column = part.column(text_col)
                 h, first = bags(*text_bytes(column), shingle)
                 keys = band_keys(signatures(h, first, bands * rows), bands, rows)
@@ -173,35 +177,79 @@ def sign(docs: DataFrame, text_col: str, bands: int, rows: int, shingle: int) ->
     return materialize(map_arrow(docs, work, schema).withColumn("_uid", F.monotonically_increasing_id()), "signed")
 
 
+def _with_texts(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs with the compressed texts of both, in order of ``a`` within partitions."""
+    z = signed.select("_uid", "_z")
+    return pairs.join(z.select(F.col("_uid").alias("b"), F.col("_z").alias("zb")), "b").join(z.select(F.col("_uid").alias("a"), F.col("_z").alias("za")), "a").select("a", "b", "za", "zb")
+
+
+def _bag_pairs(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[list[int], list[int], list[np.ndarray], list[np.ndarray]]]:
+    """Of slices of the rows: a, b and the multisets of both."""
+    open_ = zstandard.ZstdDecompressor()
+    hub, hub_bag = None, None
+    for batch in batches:
+        for part in slices(batch, "zb", 1 << 17):
+            a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
+            texts = [open_.decompress(z) for z in part.column("zb").to_pylist()]
+            h, first = bags(*text_bytes(pa.array(texts, pa.large_binary())), shingle)
+            hubs = []
+            for i, x in enumerate(a):
+                if x != hub:
+                    hub = x
+                    hub_bag = bags(*text_bytes(pa.array([open_.decompress(part.column("za")[i].as_py())], pa.large_binary())), shingle)[0]
+                hubs.append(hub_bag)
+            yield a, b, hubs, [h[first[i] : first[i + 1]] for i in range(len(b))]
+
+
+PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
 def verify(pairs: DataFrame, signed: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes whose multisets overlap enough; stored."""
-    z = signed.select("_uid", "_z")
-    joined = pairs.join(z.select(F.col("_uid").alias("b"), F.col("_z").alias("zb")), "b").join(z.select(F.col("_uid").alias("a"), F.col("_z").alias("za")), "a")
 
     def check(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        open_ = zstandard.ZstdDecompressor()
-        hub, hub_bag = None, None
-        for batch in batches:
-            a, b, za, zb = (batch.column(c).to_pylist() for c in ("a", "b", "za", "zb"))
-            at, keep = 0, []
-            while at < len(a):
-                texts, upto, size = [], at, 0
-                while upto < len(a) and (upto == at or size < 1 << 20):
-                    texts.append(open_.decompress(zb[upto]))
-                    size += len(texts[-1])
-                    upto += 1
-                h, first = bags(*text_bytes(pa.array(texts, pa.large_binary())), shingle)
-                for i in range(at, upto):
-                    if a[i] != hub:  # rows come in order of a
-                        hub = a[i]
-                        hub_bag = bags(*text_bytes(pa.array([open_.decompress(za[i])], pa.large_binary())), shingle)[0]
-                    if overlap(hub_bag, h[first[i - at] : first[i - at + 1]]) >= threshold:
-                        keep.append(i)
-                at = upto
+        for a, b, hubs, own in _bag_pairs(batches, shingle):
+            keep = [i for i in range(len(a)) if overlap(hubs[i], own[i]) >= threshold]
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], schema=schema)
 
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    return materialize(map_arrow(joined.select("a", "b", "za", "zb"), check, schema), "links")
+    return materialize(map_arrow(_with_texts(pairs, signed), check, PAIR), "links")
+
+
+def tokens_of(bag: np.ndarray) -> np.ndarray:
+    """A multiset as a set: each occurrence of a hash with its number."""
+    u, c = np.unique(bag, return_counts=True)
+    number = np.arange(len(bag)) - np.repeat(np.cumsum(c) - c, c)
+    return mix(np.repeat(u, c) + number.astype(np.uint64) * _GOLD)
+
+
+def prefix_tokens(bag: np.ndarray, hub: np.ndarray, threshold: float) -> np.ndarray:
+    """The tokens of which two multisets of that similarity share one, in the order: those not in the hub first, then by value."""
+    tokens = tokens_of(bag)
+    order = np.lexsort((tokens, np.isin(tokens, tokens_of(hub))))
+    return tokens[order[: len(tokens) - int(np.ceil(threshold * len(tokens) - 1e-9)) + 1]]
+
+
+def parity_map(tokens: np.ndarray, hub_tokens: int) -> np.ndarray:
+    """Parities of the tokens in hashed places, as 64-bit words; about six places for each token of the hub.
+
+    Two maps differ in no more places than the sets differ in tokens.
+    """
+    places = 1 << int(np.clip(np.ceil(np.log2(6 * max(1, hub_tokens))), 8, 13))
+    odd = np.bincount((tokens % np.uint64(places)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def prefixes(pairs: DataFrame, signed: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """For each pair (a, b) the prefix ``tokens`` of b in the order of hub a, and its ``parity`` map; stored."""
+
+    def cut(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for a, b, hubs, own in _bag_pairs(batches, shingle):
+            tokens = [prefix_tokens(x, y, threshold).view(np.int64) for x, y in zip(own, hubs, strict=True)]
+            maps = [parity_map(tokens_of(x), len(y)) for x, y in zip(own, hubs, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(tokens, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))], schema=schema)
+
+    longs = T.ArrayType(T.LongType())
+    return materialize(map_arrow(_with_texts(pairs, signed), cut, T.StructType([*PAIR, T.StructField("tokens", longs), T.StructField("parity", longs)])), "tokens")
 
 
 def _pairs(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -210,36 +258,49 @@ def _pairs(pairs: DataFrame, threshold: float) -> DataFrame:
     return materialize(sized.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
 
+def _mixed(crowded: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with their component ``c``; stored."""
+    labels = connected_components(links, "a", "b").withColumnRenamed("node", "uid")
+    placed = crowded.join(labels, "uid", "left").select("key", "uid", "n", "hub", F.coalesce("component", "uid").alias("c"), "reach")
+    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") < F.col("c1")).select("key")
+    return materialize(placed.join(mixed, "key"), "mixed")
+
+
 def near_duplicate_classes(signed: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """``_uid`` of every row and ``_class``, the least ``_uid`` among the nodes of its class."""
     nodes = materialize(signed.where(F.col("_n") > 0).groupBy("_digest").agg(F.min("_uid").alias("node")), "nodes")
     own = signed.select("_uid", "_n", "_bands").join(nodes.select(F.col("node").alias("_uid")), "_uid")
     members = own.select(F.col("_uid").alias("uid"), F.col("_n").alias("n"), F.explode("_bands").alias("key"))
-    groups = members.groupBy("key").agg(F.min(F.struct("uid", "n")).alias("hub"), F.max("uid").alias("most")).where(F.col("hub.uid") < F.col("most"))
-    crowded = materialize(members.join(groups.select("key", "hub"), "key"), "buckets")
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    met = materialize(members.join(shared, "key"), "members")
+    central = met.groupBy("uid").agg(F.sum("size").alias("reach"))
+    reached = met.drop("size").join(central, "uid")
+    hubs = reached.groupBy("key").agg(F.max_by(F.struct("uid", "n"), F.struct("reach", -F.col("uid"))).alias("hub"))
+    crowded = materialize(reached.join(hubs, "key"), "buckets")
     tried = _pairs(crowded.where(F.col("uid") != F.col("hub.uid")).select(F.col("hub.uid").alias("a"), F.col("hub.n").alias("na"), F.col("uid").alias("b"), F.col("n").alias("nb")), threshold)
     links = verify(tried, signed, shingle, threshold)
-    for turn in range(hub_rounds + 1):
-        labels = connected_components(links, "a", "b")
-        placed = crowded.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("key", "uid", "n", "hub", F.coalesce("component", "uid").alias("c"))
-        mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") < F.col("c1")).select("key")
-        mixed = materialize(placed.join(mixed, "key"), "mixed")
-        if turn < hub_rounds:
-            first = mixed.where(F.col("uid") == F.col("hub.uid")).select("key", F.col("c").alias("hub_c"))
-            outside = mixed.join(first, "key").where(F.col("c") != F.col("hub_c"))
-            hubs = outside.groupBy("key").agg(F.min_by(F.struct("uid", "n", "c"), F.xxhash64("uid", F.lit(turn))).alias("next"))
-            new = mixed.join(hubs, "key").where(F.col("c") != F.col("next.c")).select(F.col("next.uid").alias("a"), F.col("next.n").alias("na"), F.col("uid").alias("b"), F.col("n").alias("nb"))
-        else:
-            x = mixed.select("key", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-            y = mixed.select("key", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            new = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
+    for _ in range(hub_rounds):
+        mixed = _mixed(crowded, links)
+        first = mixed.where(F.col("uid") == F.col("hub.uid")).select("key", F.col("c").alias("hub_c"))
+        outside = mixed.join(first, "key").where(F.col("c") != F.col("hub_c"))
+        hubs = outside.groupBy("key").agg(F.max_by(F.struct("uid", "n", "c"), F.struct("reach", -F.col("uid"))).alias("next"))
+        new = mixed.join(hubs, "key").where(F.col("c") != F.col("next.c")).select(F.col("next.uid").alias("a"), F.col("next.n").alias("na"), F.col("uid").alias("b"), F.col("n").alias("nb"))
         new = _pairs(new, threshold).join(tried, ["a", "b"], "left_anti")
-        if new.isEmpty():
-            if turn < hub_rounds and not mixed.isEmpty():
-                continue
-            break
-        found = verify(new, signed, shingle, threshold)
-        tried, links = tried.union(new), links.union(found)
+        tried, links = tried.union(new), links.union(verify(new, signed, shingle, threshold))
+    mixed = _mixed(crowded, links)
+    of_hub = mixed.select(F.col("hub.uid").alias("a"), F.col("uid").alias("b")).distinct()
+    about = mixed.select(F.col("uid").alias("b"), "n", "c").distinct()
+    cut = prefixes(of_hub, signed, shingle, threshold)
+    token = cut.select("a", "b", F.explode("tokens").alias("token")).join(about, "b")
+    split = token.groupBy("a", "token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") < F.col("c1")).select("a", "token")
+    met = materialize(token.join(split, ["a", "token"]).join(cut.select("a", "b", "parity"), ["a", "b"]), "met")
+    x = met.select("a", "token", F.col("b").alias("ua"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("parity").alias("pa"))
+    y = met.select("a", "token", F.col("b").alias("ub"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("parity").alias("pb"))
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    near = apart <= (1 - threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) + 1e-9
+    new = x.join(y, ["a", "token"]).where((F.col("ua") < F.col("ub")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & near)
+    new = _pairs(new.select(F.col("ua").alias("a"), F.col("ub").alias("b"), "na", "nb"), threshold).join(tried, ["a", "b"], "left_anti")
+    links = links.union(verify(new, signed, shingle, threshold))
     labels = connected_components(links, "a", "b")
     of = nodes.join(labels, "node", "left").select("_digest", F.coalesce("component", "node").alias("_class"))
     return signed.select("_uid", F.when(F.col("_n") > 0, F.col("_digest")).alias("_digest")).join(of, "_digest", "left").select("_uid", F.coalesce("_class", "_uid").alias("_class"))
@@ -255,18 +316,19 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``docs`` with one row of each class, that of the least id (null last)."""
-    signed = sign(docs, text_col, bands, rows, shingle)
-    classes = near_duplicate_classes(signed, threshold, shingle).join(signed.select("_uid", F.col(id_col).alias("_id")), "_uid")
+    others = [c for c in docs.columns if c != text_col]
+    signed = sign(docs.select(F.struct(*others).alias("_row"), F.col(text_col).alias("text")), "text", bands, rows, shingle)
+    classes = near_duplicate_classes(signed, threshold, shingle).join(signed.select("_uid", F.col(f"_row.{id_col}").alias("_id")), "_uid")
     kept = classes.groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_uid")).alias("first")).select(F.col("first._uid").alias("_uid"))
-    rest = signed.drop("_digest", "_n", "_bands").join(kept, "_uid", "left_semi").drop("_uid")
+    rest = signed.select("_uid", "_row", "_z").join(kept, "_uid", "left_semi").select("_row", "_z")
+    schema = T.StructType([rest.schema["_row"], T.StructField("_text", T.StringType())])
 
-    def restore(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    def restore(batches: Iterator[pa.RecordBatch], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
             for part in slices(batch, "_z", 1 << 20):
                 texts = [None if z is None else open_.decompress(z).decode("utf-8", "replace") for z in part.column("_z").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(texts, f.type) if f.name == text_col else part.column(f.name) for f in schema], schema=schema)
-
-    return map_arrow(rest, restore, docs.schema)
-
+                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(texts, pa.string())], schema=arrow)
 
+    whole = map_arrow(rest, restore, schema)
+    return whole.select(*[F.col("_text").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
