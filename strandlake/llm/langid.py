@@ -56,7 +56,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     two = c[:-2] * 64 + c[1:-1]
     three = ((two.astype(np.int64) * 64 + c[2:]) * 0x9E3779B1 >> 8) % BUCKETS
     inside = np.ones(len(doc), bool)
-    inside[start[1:] - 1] = False  # its trigram would reach into the next text
+    inside[np.append(start[1:], len(doc)) - 1] = False  # its trigram would reach into the next text
     counts = np.concatenate(
         [np.bincount(doc * BUCKETS + two, minlength=n * BUCKETS).reshape(n, BUCKETS), np.bincount(doc[inside] * BUCKETS + three[inside], minlength=n * BUCKETS).reshape(n, BUCKETS)],
         axis=1,

@@ -118,6 +118,9 @@ def apply_cuts(keyed: DataFrame, cuts: DataFrame, source_col: str = "source") ->
 
 def mix_sources(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", **plan) -> DataFrame:
     """``docs`` with what the mix takes of each; no more than the keys is stored or shuffled."""
-    keyed = with_keys(docs, text_col, id_col)
-    stored = materialize(keyed.select(source_col, "size", "_key", "_h"), "keys")
-    return apply_cuts(keyed, source_cuts(stored, source_col, **plan), source_col)
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_from"), F.col(text_col).alias("_text"))
+    keyed = with_keys(whole, "_text", "_id").drop("_text", "_id")
+    stored = materialize(keyed.drop("_row"), "keys")
+    mixed = apply_cuts(keyed, source_cuts(stored, "_from", **plan), "_from")
+    new = ["size", "source_size", "target", "times", "taken"]
+    return mixed.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in new], *new)

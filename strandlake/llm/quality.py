@@ -200,17 +200,19 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, names: list[str], min_precision:
         if not conditions:
             break
 
-        def worth(k: int, conditions=conditions, prune=prune) -> float:
+        def judged(k: int, conditions=conditions, prune=prune) -> tuple[float, float]:
+            """Precision and worth of the first k conditions on the rows held back."""
             m = _meets(x, names, conditions[:k]) & prune
-            p, n = (m & bad).sum(), (m & ~bad).sum()
-            return (p - n) / (p + n) if p + n else -1.0
+            p, n = int((m & bad).sum()), int((m & ~bad).sum())
+            return (p / (p + n), (p - n) / (p + n)) if p + n else (0.0, -1.0)
 
-        keep = max(range(1, len(conditions) + 1), key=lambda k: (worth(k), -k))
+        good = [k for k in range(1, len(conditions) + 1) if judged(k)[0] >= min_precision]
+        keep = max(good, key=lambda k: (judged(k)[1], -k), default=len(conditions))
         conditions = conditions[:keep]
         m = _meets(x, names, conditions)
-        held, all_ = m & prune, m & left
-        precision = float((held & bad).sum() / max(1, held.sum()))
-        if not held.any() or precision < min_precision or (all_ & bad).sum() / all_.sum() < min_precision or (all_ & bad).sum() < min_covered:
+        all_ = m & left
+        precision = judged(keep)[0]
+        if not good or (all_ & bad).sum() / all_.sum() < min_precision or (all_ & bad).sum() < min_covered:
             left &= ~(m & bad & ~fold)  # no rule; go on with the rest
             if not (m & bad & grow).any():
                 break

@@ -1,0 +1,221 @@
+"""Decontamination, token counts, quality rules, language codes and URL rules against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from conftest import SF, rows_of
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from strandlake.llm import decontaminate as dec
+from strandlake.llm import kernel, langid, quality, queries, tokencount, urlfilter
+
+DOCS = "doc_id long, text string, spans string, N_WORDS string"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, duck, name):
+    got = queries.queries()[name](spark, SF).toPandas()
+    want = duck.sql(queries.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows_of(got) == rows_of(want)
+
+
+def words(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def brute_hits(docs, items, window=10):
+    wins = {}
+    for item, text in items:
+        w = words(text)
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            wins.setdefault(tuple(w[i : i + window]), set()).add("" if item is None else str(item))
+    out = []
+    for doc_id, text in docs:
+        w, hit, of = words(text), set(), set()
+        for length in {len(x) for x in wins}:
+            for i in range(len(w) - length + 1):
+                if found := wins.get(tuple(w[i : i + length])):
+                    hit |= set(range(i, i + length))
+                    of |= found
+        out.append((doc_id, len(w), len(hit), sorted(of)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block", [7, 10**6])
+def test_decontamination(spark, block):
+    random.seed(block)
+    v = ["a", "b", "Ç9", "dé", "e", "f", "中"]
+    text = lambda n: " ".join(random.choice(v) for _ in range(random.randrange(n)))
+    items = [(i % 9, text(18)) for i in range(12)] + [(50, "Q r"), (51, "only"), (52, ""), (53, None), (None, "q R s")]
+    docs = [(i, text(60)) for i in range(40)] + [(3, "x q-R, s ONLY"), (None, "q r"), (7, None), (8, ""), (9, " .,"), (10, "z " * 30000 + "only")]
+    docs += docs[:3]
+    df = spark.createDataFrame([(*d, "clash", "clash") for d in docs], DOCS)
+    got = dec.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), block_windows=block)
+    rows = [(r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), r["items"]) for r in got.collect()]
+    assert sorted(rows, key=str) == brute_hits(docs, items)
+    assert all(r["contaminated"] == bool(r["spans"]) for r in got.collect())
+
+
+def test_decontamination_of_empty_tables(spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert [r["contaminated"] for r in dec.decontaminate(docs, none).collect()] == [False]
+    assert dec.decontaminate(docs.limit(0), none).count() == 0
+
+
+TEXTS = st.text(alphabet=st.sampled_from(list("ab the\n \t.,'é中ß🙂<s>▁\r\x00")), max_size=30)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(TEXTS, min_size=1, max_size=4))
+def test_token_counts_are_the_library_s(texts):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    counter = tokencount.open_counter(path)
+    assert isinstance(counter, tokencount.PieceCounter)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert counter.counts(texts) == [len(x) for x in sp.encode(texts, num_threads=1)]
+
+
+def test_token_counts(spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [None, "", "a", "word " * 40000, "x" * 9000, " lead", "trail  ", "a\n\nb"]
+    df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)] * 2, "doc_id long, text string, n_tokens string")
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in tokencount.count_tokens(df, path).collect())
+    assert got == sorted((i, len((t or "").encode()), len(sp.encode(t or ""))) for i, t in enumerate(texts) for _ in range(2))
+    other = tokencount.count_tokens(df.limit(3), public_tokenizers.path("word_bpe_49k.json")).orderBy("doc_id").first()
+    assert other["n_tokens"] == 0
+
+
+def brute_counts(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    hit = {j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
+    lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(hit)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(list("ab \n\t#|é中\r ")), max_size=40)), min_size=1, max_size=6))
+def test_quality_counts(texts):
+    got = quality.text_counts(*kernel.text_bytes(pa.array(texts, pa.string())))
+    assert [[int(got[c][i]) for c in quality.COUNTS[:5]] for i in range(len(texts))] == [brute_counts(t) for t in texts]
+
+
+def test_decision_list_finds_the_rule():
+    rng = np.random.default_rng(1)
+    x = rng.random((3000, 3))
+    bad = (x[:, 0] > 0.7) & (x[:, 1] < 0.5) | (x[:, 2] > 0.95)
+    rules = quality.learn_rules(x, bad, ["symbols_per_word", "upper_share", "twin_share"])
+    judged = np.zeros(3000, bool)
+    for r in rules:
+        judged |= quality._meets(x, ["symbols_per_word", "upper_share", "twin_share"], list(r.conditions))
+    assert (judged == bad).mean() > 0.97 and (judged & ~bad).mean() < 0.02
+    assert quality.learn_rules(x, np.zeros(3000, bool), ["symbols_per_word", "upper_share", "twin_share"]) == []
+
+
+def test_quality_query(spark):
+    rows = {r["doc_id"]: r for r in queries.queries()["op8_quality_rules"](spark, SF).collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for i, r in rows.items():
+        c = brute_counts(texts[i])
+        assert [r[k] for k in quality.COUNTS[:5]] == c
+        assert r["base_failed"] == (c[0] < 50 or 100 * c[4] > 50 * c[0]) and not (r["base_failed"] and r["kept"])
+    labels = [r for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if not rows[r["doc_id"]]["base_failed"]]
+    assert np.mean([rows[r["doc_id"]]["kept"] == bool(r["quality"]) for r in labels]) > 0.95
+    docs = spark.createDataFrame([(1, None), (2, "word " * 60), (3, ""), (3, "")], "doc_id long, text string")
+    no_labels = spark.createDataFrame([(1, None), (None, 0)], "doc_id long, quality int")
+    assert quality.fit_rules(docs, no_labels) == []
+    assert quality.judge_quality(docs, []).count() == 4
+    assert quality.judge_quality(docs.limit(0), []).count() == 0
+
+
+def test_language_codes():
+    for n in (2, 3, 4, 6, 9, 40):
+        m = langid.code_matrix(n)
+        apart = [(m[i] != m[j]).sum() for i in range(n) for j in range(i)]
+        assert m.shape[0] == n and min(apart) >= 1 and set(np.unique(m)) == {-1, 1}
+        assert (np.abs(m.sum(axis=0)) < n).all()
+
+
+def test_language_features_do_not_cross_texts():
+    texts = ["abc", "", "xyz é", "Q9 q"]
+    all_ = langid.features(*kernel.text_bytes(pa.array(texts)))
+    for i, t in enumerate(texts):
+        assert np.allclose(langid.features(*kernel.text_bytes(pa.array([t])))[0], all_[i])
+
+
+def test_language_query(spark):
+    import zlib
+
+    rows = queries.queries()["op4_language_id"](spark, SF).collect()
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    held = [r for r in rows if r["held_out"]]
+    assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) > 0.9
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    docs = spark.createDataFrame([(1, "the and of", "en"), (2, "der die und", "de"), (3, None, None), (4, " 12 !", "en"), (None, "中文", None), (6, "der " * 50000, None)], "doc_id long, text string, lang string")
+    model = langid.fit_languages(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify_languages(docs.withColumn("score", F.lit("x")), model).collect()}
+    assert got[3] == got[4] == ("und", 0.0) and got[6][0] == "de" and got[None][0] in ("en", "de")
+    assert {r["lang_pred"] for r in langid.identify_languages(docs, langid.fit_languages(docs.limit(0))).collect()} == {"und"}
+
+
+RULES = queries.URL_RULES[:4]
+
+
+def brute_url(url):
+    if url is None or "://" not in url:
+        return "", "", None
+    rest = url.split("://", 1)[1]
+    host = re.split(r"[/?#]", rest)[0]
+    path = re.split(r"[?#]", rest[len(host) :])[0]
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fits = []
+    for r in RULES:
+        h, p = r.text.split("/", 1)
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p):
+            fits.append(r.text)
+    return host, path, max(fits, key=len, default=None)
+
+
+@pytest.mark.parametrize("block", [1, 100])
+def test_url_rules(spark, block):
+    random.seed(9)
+    hosts = ["net", "a.net", "example.net", "X.Example.NET", "notexample.net", "example.com", "a.example.com:80", "org", "b.org", "example.org", "cheap-pills.io", "u@net"]
+    paths = ["", "/", "/en/", "/en", "/de/x", "/fr/", "/fr/y?u=/en/", "?x", "#/en/", "/EN/", "/x.net/en/"]
+    urls = [f"https://{h}{p}" for h in hosts for p in paths] + [None, "", "no scheme/net/", "://net/", "http://" + "a." * 20000 + "net/"]
+    df = spark.createDataFrame([(i, u, "c") for i, u in enumerate(urls)] * 2, "page_id long, url string, rule string")
+    rows = urlfilter.filter_urls(df, queries.URL_RULES, block_rules=block).collect()
+    assert len(rows) == 2 * len(urls)
+    actions = {r.text: r.action for r in RULES}
+    for r in rows:
+        assert (r["host"], r["path"], r["rule"]) == brute_url(urls[r["page_id"]])
+        want = actions.get(r["rule"]) or ("block" if re.search(r"(^|[^a-z0-9])cheap-pills($|[^a-z0-9])", (urls[r["page_id"]] or "").lower()) else "allow")
+        assert r["verdict"] == want
+    assert urlfilter.filter_urls(df, []).where("verdict <> 'allow'").count() == 0
+    assert urlfilter.filter_urls(df.limit(0), RULES).count() == 0
+    with pytest.raises(ValueError):
+        urlfilter.UrlRule("a/", "maybe")
+
+
+def test_item_digest(spark):
+    got = {r["doc_id"]: r for r in queries.queries()["op1_decontaminate"](spark, SF).collect()}
+    clean = next(r for r in got.values() if not r["contaminated"])
+    assert clean["items_sha256"] == hashlib.sha256(b"").hexdigest()
