@@ -166,3 +166,34 @@ def metrics_file(path: Column) -> Column:
     pattern = r"^(train|test)_epoch_(.+)\.json$"
     epoch = F.regexp_extract(name, pattern, 2)
     return F.when(name.rlike(pattern), F.struct(F.regexp_extract(name, pattern, 1).alias("sample"), epoch.alias("epoch"), epoch.try_cast("int").alias("epoch_number")))
+
+
+#: Tokens of a SMILES string that are atoms, bracketed or plain.
+SMILES_ATOMS = r"\[[^\]]*\]|Br|Cl|[BCNOSPFIbcnops]"
+
+
+def smiles_elements(c: Column) -> Column:
+    """Element symbols of the atoms in a SMILES string, aromatic ones capitalised.
+
+    A reading of the text only; a chemistry hook decides whether it is a molecule.
+    """
+    bare = lambda a: F.when(a.startswith("["), F.regexp_extract(a, r"^\[\d*([A-Z][a-z]?|[a-z]{1,2})", 1)).otherwise(a)
+    return F.transform(F.regexp_extract_all(c, F.lit(f"({SMILES_ATOMS})"), F.lit(1)), lambda a: F.initcap(bare(a)))
+
+
+def has_element(c: Column, elements: Sequence[str]) -> Column:
+    """Whether some atom of a SMILES string is of the elements; null is not."""
+    return F.coalesce(F.arrays_overlap(smiles_elements(c), F.array(*[F.lit(e) for e in elements])), F.lit(False))
+
+
+def hashed_fingerprint(c: Column, k: int = 3, bits: int = 2048) -> Column:
+    """Set bits of a text's k-character pieces by hash, sorted: a stand-in where no chemistry hook makes fingerprints."""
+    n = F.length(c)
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(k)))
+    return F.when(n > 0, F.array_sort(F.array_distinct(F.transform(pieces, lambda x: (F.conv(F.substring(F.md5(x), 1, 6), 16, 10).cast("long") % bits).cast("int")))))
+
+
+def chain_sequences(entities: Column, chains: Column) -> Column:
+    """Struct (sequence, kinds) of the entities, structs of (strands, sequence, kind), that lie on one of the chains; in order."""
+    of = F.filter(entities, lambda e: F.arrays_overlap(F.split(e["strands"], ","), chains))
+    return F.struct(F.array_join(F.transform(of, lambda e: e["sequence"]), "").alias("sequence"), F.array_join(F.transform(of, lambda e: e["kind"]), "|").alias("kinds"))
