@@ -7,6 +7,7 @@ Everything that a later job reads again goes to the folder that the cluster name
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not sc.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='strandlake-')}"
+    folder = tempfile.mkdtemp(prefix="strandlake-")
+    atexit.register(shutil.rmtree, folder, True)
+    made = f"file://{folder}"
     sc.setCheckpointDir(made)
     return made
 
