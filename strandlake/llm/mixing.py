@@ -4,10 +4,11 @@ Every document gets an exponential key ``-ln(u) / weight``; ``u`` is a hash of i
 ``weight`` its quality weight. A source's target is met by complete epochs over all its documents
 first; the fraction that is left is the prefix, in order of keys, whose words come nearest to it.
 
-The order is never made by sorting a source in one task. Keys fall into buckets of about
-``BUCKET_ROWS`` documents; the words of buckets are summed before the shuffle and prefix-summed;
-only the one bucket of each source in which the budget ends is sorted. What it yields is one cut
-key a source, so selection is a comparison without a shuffle, however hot a source is.
+The order is never made by sorting a source in one task. A source of n documents has about
+sqrt(n) buckets of keys with sqrt(n) documents each; the words of buckets are summed before the
+shuffle and prefix-summed; only the one bucket of each source in which the budget ends is sorted.
+What it yields is one cut key a source, so selection is a comparison without a shuffle, however hot
+a source is.
 
 Defined cases: null texts have size 0; the null source is a source, the last; equal rows have
 equal keys and are taken alike; sources without words have target 0; an empty table gives an
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 
 from ..store import materialize
 
-BUCKET_ROWS = 20_000
 #: Rows of the table of sources up to which it is broadcast; a row is below 200 bytes but for the name.
 BROADCAST_SOURCES = 50_000
 
@@ -68,12 +68,12 @@ def source_targets(keyed: DataFrame, source_col: str, cycle: tuple[float, ...],
     return level.withColumn("target", target).select("_source", "source_size", "n_docs", "weight", "target")
 
 
-def source_cuts(keyed: DataFrame, source_col: str = "source", cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def source_cuts(keyed: DataFrame, source_col: str = "source", cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The targets, with complete ``epochs`` and the bucket and last key of the fraction."""
     plan = source_targets(keyed, source_col, cycle, share, cap)
     plan = plan.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", F.col("source_size").cast("double"))), F.lit(0)).cast("long"))
     plan = materialize(
-        plan.withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("n_buckets", F.ceil(F.col("n_docs") / bucket_rows)), "targets"
+        plan.withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("n_buckets", F.ceil(F.sqrt(F.col("n_docs").cast("double")))), "targets"
     )
     placed = _with_plan(keyed.select(F.col(source_col).alias("_s"), "size", "_key", "_h"), "_s", plan)
     bucket = _bucket()

@@ -230,7 +230,7 @@ def test_mixing(spark):
     sources = ["b", "a", None, "c", "", "tiny"]
     rows = [(i, random.choices(sources, [5, 3, 2, 8, 1, 0.2])[0], "w " * random.randrange(0, 40)) for i in range(900)] + [(7, "b", None), (None, "b", "x y"), (None, "b", "x y"), (5000, "c", "word " * 300)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, source string, text string, target string")
-    mixed = mixing.mix_sources(df, bucket_rows=50).toPandas()
+    mixed = mixing.mix_sources(df).toPandas()
     assert len(mixed) == len(rows)
     size = defaultdict(int)
     for _, s, t in rows:
@@ -252,7 +252,7 @@ def test_mixing(spark):
         assert np.allclose(part.target.astype(float), target[s]) and (part.source_size == size[s]).all()
         assert abs(part.taken.sum() - target[s]) <= part["size"].max() / 2 + 1
     assert (mixed.taken <= 2 * mixed["size"]).all()
-    again = mixing.mix_sources(df.repartition(5), bucket_rows=50).toPandas()
+    again = mixing.mix_sources(df.repartition(5)).toPandas()
     key = ["doc_id", "source", "size", "taken"]
     assert sorted(map(str, mixed[key].values.tolist())) == sorted(map(str, again[key].values.tolist()))
     assert mixing.mix_sources(df.limit(0)).count() == 0
