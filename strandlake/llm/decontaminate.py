@@ -22,6 +22,7 @@ that are named like a result column give way to it.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -132,7 +133,8 @@ def decontaminate(
     kept = plus(docs.schema, T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType())))
     span_type, text_at = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), text_col
     sc, out = docs.sparkSession.sparkContext, docs
-    for n, block in enumerate([*blocks_of_windows(benchmark, item_col, item_text_col, window, block_windows)] or [{}]):
+    blocks = blocks_of_windows(benchmark, item_col, item_text_col, window, block_windows)
+    for n, block in enumerate(itertools.chain([next(blocks, {})], blocks)):
         vocabulary = frozenset(word for w in block for word in w)
         frequency = document_frequencies(docs, text_col, vocabulary) if vocabulary else {}
         shared, again = sc.broadcast(prefix_index(block, frequency)), n > 0
