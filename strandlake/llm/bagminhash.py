@@ -261,8 +261,8 @@ def _pairs(pairs: DataFrame, threshold: float) -> DataFrame:
 def _mixed(crowded: DataFrame, links: DataFrame) -> DataFrame:
     """Members of buckets that hold several components, with their component ``c``; stored."""
     labels = connected_components(links, "a", "b").withColumnRenamed("node", "uid")
-    placed = crowded.join(labels, "uid", "left").select("key", "uid", "n", "hub", F.coalesce("component", "uid").alias("c"), "reach")
-    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") < F.col("c1")).select("key")
+    placed = materialize(crowded.join(labels, "uid", "left").select("key", "uid", "n", "hub", F.coalesce("component", "uid").alias("c"), "reach"), "placed")
+    mixed = materialize(placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") < F.col("c1")).select("key"), "mixed-keys")
     return materialize(placed.join(mixed, "key"), "mixed")
 
 
@@ -271,11 +271,13 @@ def near_duplicate_classes(signed: DataFrame, threshold: float = THRESHOLD, shin
     nodes = materialize(signed.where(F.col("_n") > 0).groupBy("_digest").agg(F.min("_uid").alias("node")), "nodes")
     own = signed.select("_uid", "_n", "_bands").join(nodes.select(F.col("node").alias("_uid")), "_uid")
     members = own.select(F.col("_uid").alias("uid"), F.col("_n").alias("n"), F.explode("_bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    # What is aggregated by a key is stored before it is joined by that key, so that Spark can split a hot key's rows in the join.
+    shared = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "shared")
     met = materialize(members.join(shared, "key"), "members")
     central = met.groupBy("uid").agg(F.sum("size").alias("reach"))
     reached = met.drop("size").join(central, "uid")
-    hubs = reached.groupBy("key").agg(F.max_by(F.struct("uid", "n"), F.struct("reach", -F.col("uid"))).alias("hub"))
+    reached = materialize(reached, "reached")
+    hubs = materialize(reached.groupBy("key").agg(F.max_by(F.struct("uid", "n"), F.struct("reach", -F.col("uid"))).alias("hub")), "hubs")
     crowded = materialize(reached.join(hubs, "key"), "buckets")
     tried = _pairs(crowded.where(F.col("uid") != F.col("hub.uid")).select(F.col("hub.uid").alias("a"), F.col("hub.n").alias("na"), F.col("uid").alias("b"), F.col("n").alias("nb")), threshold)
     links = verify(tried, signed, shingle, threshold)
@@ -291,8 +293,8 @@ def near_duplicate_classes(signed: DataFrame, threshold: float = THRESHOLD, shin
     of_hub = mixed.select(F.col("hub.uid").alias("a"), F.col("uid").alias("b")).distinct()
     about = mixed.select(F.col("uid").alias("b"), "n", "c").distinct()
     cut = prefixes(of_hub, signed, shingle, threshold)
-    token = cut.select("a", "b", F.explode("tokens").alias("token")).join(about, "b")
-    split = token.groupBy("a", "token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") < F.col("c1")).select("a", "token")
+    token = materialize(cut.select("a", "b", F.explode("tokens").alias("token")).join(about, "b"), "prefixes")
+    split = materialize(token.groupBy("a", "token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") < F.col("c1")).select("a", "token"), "split")
     met = materialize(token.join(split, ["a", "token"]).join(cut.select("a", "b", "parity"), ["a", "b"]), "met")
     x = met.select("a", "token", F.col("b").alias("ua"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("parity").alias("pa"))
     y = met.select("a", "token", F.col("b").alias("ub"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("parity").alias("pb"))
