@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,11 +14,26 @@ from pyspark.sql.pandas.types import to_arrow_schema
 BATCH_ROWS = 1000
 
 
+def _give_back() -> None:
+    """Return what a finished task has freed to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch], pa.Schema], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """``df.mapInArrow`` where ``fn`` also gets the Arrow schema of its result."""
     arrow = to_arrow_schema(schema)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return df.mapInArrow(lambda batches: fn(batches, arrow), schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches, arrow)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def plus(schema: T.StructType, *fields: T.StructField) -> T.StructType:

@@ -259,9 +259,11 @@ def _pairs(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def _mixed(crowded: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, with their component ``c``; stored."""
+    """Members of buckets that hold several components, with their component ``c`` and their hub's, ``hub_c``; stored."""
     labels = connected_components(links, "a", "b").withColumnRenamed("node", "uid")
-    placed = materialize(crowded.join(labels, "uid", "left").select("key", "uid", "n", "hub", F.coalesce("component", "uid").alias("c"), "reach"), "placed")
+    of_hub = labels.select(F.col("uid").alias("hub_uid"), F.col("component").alias("hub_component"))
+    placed = crowded.join(labels, "uid", "left").withColumn("hub_uid", F.col("hub.uid")).join(of_hub, "hub_uid", "left")
+    placed = materialize(placed.select("key", "uid", "n", "hub", F.coalesce("component", "uid").alias("c"), F.coalesce("hub_component", "hub_uid").alias("hub_c"), "reach"), "placed")
     mixed = materialize(placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") < F.col("c1")).select("key"), "mixed-keys")
     return materialize(placed.join(mixed, "key"), "mixed")
 
@@ -283,9 +285,8 @@ def near_duplicate_classes(signed: DataFrame, threshold: float = THRESHOLD, shin
     links = verify(tried, signed, shingle, threshold)
     for _ in range(hub_rounds):
         mixed = _mixed(crowded, links)
-        first = mixed.where(F.col("uid") == F.col("hub.uid")).select("key", F.col("c").alias("hub_c"))
-        outside = mixed.join(first, "key").where(F.col("c") != F.col("hub_c"))
-        hubs = outside.groupBy("key").agg(F.max_by(F.struct("uid", "n", "c"), F.struct("reach", -F.col("uid"))).alias("next"))
+        outside = mixed.where(F.col("c") != F.col("hub_c"))
+        hubs = materialize(outside.groupBy("key").agg(F.max_by(F.struct("uid", "n", "c"), F.struct("reach", -F.col("uid"))).alias("next")), "hubs")
         new = mixed.join(hubs, "key").where(F.col("c") != F.col("next.c")).select(F.col("next.uid").alias("a"), F.col("next.n").alias("na"), F.col("uid").alias("b"), F.col("n").alias("nb"))
         new = _pairs(new, threshold).join(tried, ["a", "b"], "left_anti")
         tried, links = tried.union(new), links.union(verify(new, signed, shingle, threshold))
