@@ -173,6 +173,35 @@ def test_chains_follow_the_best_diagonal():
     assert span[:4] == (0, 60, 0, 61) and span[4] == pytest.approx(60 / 61)
 
 
+@pytest.mark.parametrize("gap", [10, 20, 40, 80, 120, 200, 400])
+def test_passages_apart_are_found_each(gap):
+    rng = np.random.default_rng(gap)
+    for n in (50, 50, 120, 300):
+        p, q = rng.integers(0, 1 << 31, n), rng.integers(0, 1 << 31, 50)
+        a, b = (np.concatenate([rng.integers(0, 1 << 31, 15), p, rng.integers(0, 1 << 31, gap), q, rng.integers(0, 1 << 31, 15)]) for _ in range(2))
+        x = np.array([*range(15, 15 + n - 5, 5), *range(15 + n + gap, 15 + n + gap + 45, 5)])
+        out = []
+        for c in chaindedup.chain_matches(x, x):
+            chaindedup.add_passage(out, a, b, x[c], x[c], 7, 7, 0)
+        spans = sorted((r["start"], r["end"]) for r in out)
+        whole = (n + 50) / (n + 50 + gap) >= 0.8
+        assert spans == ([(15, 65 + n + gap)] if whole else [(15, 15 + n), (15 + n + gap, 65 + n + gap)])
+        assert all(r["identity"] >= 0.8 for r in out)
+
+
+def test_parts_of_a_chain_keep_their_shifts():
+    rng = np.random.default_rng(5)
+    p, q = rng.integers(0, 1 << 31, 60), rng.integers(0, 1 << 31, 60)
+    a = np.concatenate([p, rng.integers(0, 1 << 31, 90), q[:30], q[31:]])
+    b = np.concatenate([p[:25], p[27:], rng.integers(0, 1 << 31, 70), q])
+    x = np.array([0, 10, 20, 30, 50, 150, 160, 170, 182, 200])
+    y = np.array([0, 10, 20, 28, 48, 128, 138, 148, 161, 179])
+    out = []
+    chaindedup.add_passage(out, a, b, x, y, 7, 7, 0)
+    assert [(r["partner_start"], r["partner_end"], r["start"], r["end"]) for r in out] == [(0, 60, 0, 58), (150, 209, 128, 188)]
+    assert [r["identity"] for r in out] == [pytest.approx(58 / 60), pytest.approx(59 / 60)]
+
+
 def brute_chain(x, y, width=5, gap=0.1):
     order = sorted(range(len(x)), key=lambda i: x[i])
     best = [0.0] * len(x)
