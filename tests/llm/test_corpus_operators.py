@@ -202,6 +202,18 @@ def test_parts_of_a_chain_keep_their_shifts():
     assert [r["identity"] for r in out] == [pytest.approx(58 / 60), pytest.approx(59 / 60)]
 
 
+def test_links_of_covered_words_are_kept(spark):
+    random.seed(9)
+    rnd = lambda n: [f"w{random.randrange(10**9)}" for _ in range(n)]
+    d, ends = rnd(132), [rnd(25), rnd(25)]
+    cut = lambda at: [w if (i - at) % 22 >= 4 else f"x{at}{i}" for i, w in enumerate(d)]  # noqa: E731  identity 0.82 with d, 0.64 with the other
+    rows = [(1, ends[0] + cut(0) + ends[1]), (2, rnd(10) + cut(11) + rnd(10)), (3, ends[0] + d + ends[1]), (4, rnd(40)), (5, d[40:90])]
+    got = {r["doc_id"]: r for r in chaindedup.passage_classes(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()}
+    assert {p["partner_id"] for p in got[3]["passages"]} == {1, 2}
+    assert [got[i]["class_id"] for i in (1, 2, 3, 4, 5)] == [1, 1, 1, 4, 1]
+    assert got[3]["n_links"] == 3 and got[2]["n_links"] >= 1
+
+
 def brute_chain(x, y, width=5, gap=0.1):
     order = sorted(range(len(x)), key=lambda i: x[i])
     best = [0.0] * len(x)
