@@ -21,6 +21,20 @@ def test_query_runs(spark, name):
     assert plans.QUERIES[name](spark, SF).count() >= 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_approximate_neighbours_are_the_nearest(spark, sf):
+    from strandlake.operators import simjoin
+    from strandlake.plans.domain import entities
+
+    e = entities(spark, f"/root/testdata/{sf}")
+    want = simjoin.nearest(e, "id", "v", 10, queries=e.where("id % 20 = 0")).select("src", "dst", "rank").toPandas()
+    got = plans.QUERIES["knn_lsh"](spark, f"/root/testdata/{sf}").where("src % 20 = 0").select("src", "dst", "rank").toPandas()
+    assert got.groupby("src").size().eq(10).all() and not got.duplicated(["src", "dst"]).any()
+    recall = len(got.merge(want, on=["src", "dst"])) / len(want)
+    print(f"recall@10 {sf}: {recall:.4f}")
+    assert recall >= 0.9
+
+
 def test_entry(spark):
     import __spark_entry__
 
