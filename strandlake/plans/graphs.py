@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as vec
 from ..operators import graph, linkpred
 from ..session import table
-from .domain import KGE, NODES, TRIPLES, entities, links, nodes, relation, triples
+from .domain import KGE, NODES, TRIPLES, all_triples, entities, links, nodes, relation, triples
 from .registry import query
 
 SPLIT = f"""{TRIPLES}, tr AS (SELECT DISTINCT src, rel, dst, md5(concat_ws('|', '42', src, rel, dst)) AS h FROM triples),
@@ -74,7 +74,7 @@ def triangle_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k_core")
 def k_core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.k_core(triples(spark, sf_dir), 3)
+    return graph.k_core(all_triples(spark, sf_dir), 3)
 
 
 @query("closeness_centrality")
@@ -85,7 +85,7 @@ def closeness_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("edge_buckets")
 def edge_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = graph.edge_buckets(triples(spark, sf_dir), 4, 16)
+    b = graph.edge_buckets(all_triples(spark, sf_dir), 4, 16)
     return b.groupBy("src_part", "dst_part").agg(F.count(F.lit(1)).alias("n"))
 
 

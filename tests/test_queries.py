@@ -35,6 +35,26 @@ def test_approximate_neighbours_are_the_nearest(spark, sf):
     assert recall >= 0.9
 
 
+def whole_graph(duck):
+    sql = "SELECT 'c' || o_custkey AS src, 'i' AS rel, 'p' || l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey UNION SELECT 'p' || l_partkey, 's', 's' || l_suppkey FROM lineitem"
+    return duck.sql(sql).fetchall()
+
+
+def test_graph_queries_without_sql_read_all_edges(spark, duck):
+    edges = whole_graph(duck)
+    assert plans.QUERIES["edge_buckets"](spark, SF).agg({"n": "sum"}).first()[0] == len(edges)
+    near = {}
+    for a, _, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    while few := [x for x, y in near.items() if len(y) < 3]:
+        for x in few:
+            for y in near.pop(x):
+                near.get(y, set()).discard(x)
+    want = sorted((x, y) for x, ys in near.items() for y in ys if x < y)
+    assert sorted(map(tuple, plans.QUERIES["k_core"](spark, SF).collect())) == want
+
+
 def test_entry(spark):
     import __spark_entry__
 
