@@ -79,8 +79,9 @@ def k_core(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("closeness_centrality")
 def closeness_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = nodes(spark, sf_dir).where("labels = 'aptamer'").orderBy(F.md5("id")).limit(5).select(F.col("id").alias("node"))
-    return graph.closeness(triples(spark, sf_dir), some).withColumn("closeness", F.round("closeness", 6))
+    t = all_triples(spark, sf_dir)
+    found = graph.closeness(t, graph.symmetric(t).select("node").distinct())
+    return found.orderBy(F.desc("closeness"), F.desc("reached"), "node").limit(200).withColumn("closeness", F.round("closeness", 6))
 
 
 @query("edge_buckets")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from conftest import SF, rows_of
 
@@ -55,6 +57,38 @@ def test_graph_queries_without_sql_read_all_edges(spark, duck):
     assert sorted(map(tuple, plans.QUERIES["k_core"](spark, SF).collect())) == want
 
 
+def test_closeness_is_of_all_nodes(spark, duck):
+    near = {}
+    for a, _, b in whole_graph(duck):
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = []
+    for x in near:
+        hops, edge = {x: 0}, [x]
+        for v in edge:
+            for y in near[v] - hops.keys():
+                hops[y] = hops[v] + 1
+                edge.append(y)
+        want.append((-(len(hops) - 1) / sum(hops.values()), 1 - len(hops), x))
+    got = plans.QUERIES["closeness_centrality"](spark, SF).collect()
+    assert sorted(r["node"] for r in got) == sorted(x for _, _, x in sorted(want)[:200])
+    assert {r["node"]: r["closeness"] for r in got} == {x: pytest.approx(-c, abs=1e-6) for c, _, x in sorted(want)[:200]}
+
+
+def test_training_reaches_every_entity(spark, duck):
+    got = plans.QUERIES["train_embeddings"](spark, SF).select("kind", "name", "v").toPandas()
+    ends = {x for a, _, b in whole_graph(duck) for x in (a, b)}
+    assert set(got.name[got.kind == "entity"]) == ends and set(got.name[got.kind == "relation"]) == {"interacts_with", "has_similarity"}
+    v = {n: x for k, n, x in got.itertuples(index=False) if k == "entity"}
+    p = {n: x for k, n, x in got.itertuples(index=False) if k == "relation"}
+    rng, names = random.Random(1), sorted(ends)
+    edges = whole_graph(duck)
+    score = lambda a, r, b: sum(x * (y + z) for x, y, z in zip(v[a], v[b], p["interacts_with" if r == "i" else "has_similarity"], strict=True))
+    wins = [score(a, r, b) > score(a, r, rng.choice(names)) for a, r, b in edges]
+    print(f"true edges above a random one: {sum(wins) / len(wins):.3f}")
+    assert sum(wins) > 0.6 * len(wins)
+
+
 def test_entry(spark):
     import __spark_entry__
 
