@@ -162,44 +162,154 @@ def test_suffix_query(spark):
     assert got == brute_repeats(rows, 50)
 
 
+def as_runs(x, y):
+    return chaindedup.runs_of(np.array(x), np.array(y))
+
+
 def test_chains_follow_the_best_diagonal():
-    x = np.array([0, 5, 10, 15, 40, 3])
-    y = np.array([100, 105, 111, 116, 2, 300])
-    chains = chaindedup.chain_matches(x, y)
-    assert [c.tolist() for c in chains] == [[0, 1, 2, 3]]
+    x, y, n = as_runs([0, 5, 10, 15, 40, 3], [100, 105, 111, 116, 2, 300])
+    assert sorted(zip(x.tolist(), y.tolist(), n.tolist(), strict=True)) == [(0, 100, 10), (3, 300, 5), (10, 111, 10), (40, 2, 5)]
+    chains = [[(int(x[i]), int(y[i])) for i in c] for _, c in chaindedup.chain_runs(x, y, n)]
+    assert chains[0] == [(0, 100), (10, 111)] and sorted(map(len, chains)) == [1, 1, 2]
     a = np.arange(60)
     b = np.concatenate([np.arange(20), [999], np.arange(20, 60)])
     span = chaindedup.align_chain(a, b, np.array([2, 10, 30, 50]), np.array([2, 10, 31, 51]))
     assert span[:4] == (0, 60, 0, 61) and span[4] == pytest.approx(60 / 61)
 
 
+def brute_chain(x, y, n, gap, overlap):
+    """Score of the best chain of runs, with or without overlaps below a seed."""
+    order = sorted(range(len(x)), key=lambda i: (x[i], y[i]))
+    best = {}
+    for at, i in enumerate(order):
+        best[i] = float(n[i])
+        for j in order[:at]:
+            dx, dy = x[i] - x[j] - n[j], y[i] - y[j] - n[j]
+            if x[j] < x[i] and y[j] < y[i] and min(dx, dy) >= (-4 if overlap else 0):
+                best[i] = max(best[i], best[j] - gap * (max(dx, 0) + max(dy, 0)) + n[i] - max(0, -dx, -dy))
+    return max(best.values())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), min_size=1, max_size=25))
+def test_fenwick_chains_are_the_best(places):
+    x, y, n = as_runs(*zip(*set(places), strict=True))
+    got = chaindedup.chain_runs(x, y, n)
+    assert sorted(i for _, c in got for i in c) == list(range(len(x)))
+    args = x.tolist(), y.tolist(), n.tolist(), chaindedup.GAP_COST
+    assert brute_chain(*args, False) - 1e-9 <= got[0][0] <= brute_chain(*args, True) + 1e-9
+
+
 @pytest.mark.parametrize("gap", [10, 20, 40, 80, 120, 200, 400])
 def test_passages_apart_are_found_each(gap):
     rng = np.random.default_rng(gap)
+    word = lambda n: rng.integers(0, 1 << 31, n).astype("<u4")
     for n in (50, 50, 120, 300):
-        p, q = rng.integers(0, 1 << 31, n), rng.integers(0, 1 << 31, 50)
-        a, b = (np.concatenate([rng.integers(0, 1 << 31, 15), p, rng.integers(0, 1 << 31, gap), q, rng.integers(0, 1 << 31, 15)]) for _ in range(2))
-        x = np.array([*range(15, 15 + n - 5, 5), *range(15 + n + gap, 15 + n + gap + 45, 5)])
-        out = []
-        for c in chaindedup.chain_matches(x, x):
-            chaindedup.add_passage(out, a, b, x[c], x[c], 7, 7, 0)
-        spans = sorted((r["start"], r["end"]) for r in out)
+        p, q = word(n), word(50)
+        a, b = (np.concatenate([word(15), p, word(gap), q, word(15)]) for _ in range(2))
+        spans = sorted(s[2:4] for s in chaindedup.stretch_spans(a, b))
         whole = (n + 50) / (n + 50 + gap) >= 0.8
         assert spans == ([(15, 65 + n + gap)] if whole else [(15, 15 + n), (15 + n + gap, 65 + n + gap)])
-        assert all(r["identity"] >= 0.8 for r in out)
 
 
 def test_parts_of_a_chain_keep_their_shifts():
     rng = np.random.default_rng(5)
-    p, q = rng.integers(0, 1 << 31, 60), rng.integers(0, 1 << 31, 60)
-    a = np.concatenate([p, rng.integers(0, 1 << 31, 90), q[:30], q[31:]])
-    b = np.concatenate([p[:25], p[27:], rng.integers(0, 1 << 31, 70), q])
-    x = np.array([0, 10, 20, 30, 50, 150, 160, 170, 182, 200])
-    y = np.array([0, 10, 20, 28, 48, 128, 138, 148, 161, 179])
-    out = []
-    chaindedup.add_passage(out, a, b, x, y, 7, 7, 0)
-    assert [(r["partner_start"], r["partner_end"], r["start"], r["end"]) for r in out] == [(0, 60, 0, 58), (150, 209, 128, 188)]
-    assert [r["identity"] for r in out] == [pytest.approx(58 / 60), pytest.approx(59 / 60)]
+    word = lambda n: rng.integers(0, 1 << 31, n).astype("<u4")
+    p, q = word(60), word(60)
+    a = np.concatenate([p, word(90), q[:30], q[31:]])
+    b = np.concatenate([p[:25], p[27:], word(70), q])
+    out = sorted(chaindedup.stretch_spans(a, b))
+    assert [s[:4] for s in out] == [(0, 60, 0, 58), (150, 209, 128, 188)]
+    assert [s[4] for s in out] == [pytest.approx(58 / 60), pytest.approx(59 / 60)]
+
+
+def brute_links(texts, min_words=30, min_identity=0.8):
+    """Pairs of different texts that have a passage in common, all pairs of whole texts chained."""
+    words = []
+    for t in texts:
+        data, offsets = text_bytes(pa.array([t], pa.string()))
+        starts, ends, _ = chaindedup.word_bounds(data, offsets, chaindedup.ALNUM)
+        words.append(chaindedup.span_hashes(data, starts, ends).astype("<u4"))
+    return [(i, j) for j in range(len(texts)) for i in range(j) if len(words[i]) and len(words[j]) and chaindedup.stretch_spans(words[i], words[j], min_words, min_identity)]
+
+
+def hold_against_brute(spark, rows, block, least_recall=1.0):
+    """Classes equal the components of all links between different texts, and the links are among them."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in chaindedup.passage_classes(df, block_bytes=block).collect()}
+    texts = sorted({t or "" for _, t in rows})
+    links = brute_links(texts)
+    of, ids = union_find(range(len(texts)), links), defaultdict(list)
+    linked = {x for pair in links for x in pair}
+    for i, t in rows:
+        k = texts.index(t or "")
+        ids[of[k] if k in linked or len((t or "").split()) >= 30 else (i,)].append(i)
+    want = {i: min(group) for group in ids.values() for i in group}
+    assert {i: r["class_id"] for i, r in got.items()} == want
+    at = {i: texts.index(t or "") for i, t in rows}
+    found = {tuple(sorted((at[i], at[p["partner_id"]]))) for i, r in got.items() for p in r["passages"]}
+    found = {p for p in found if p[0] != p[1]}
+    assert found <= set(links)
+    recall = len(found) / max(1, len(links))
+    print(f"links found: {len(found)} of {len(links)}")
+    assert recall >= least_recall
+    return got
+
+
+@pytest.mark.parametrize("block", [20_000, 200_000, 4 << 20])
+def test_chain_query_against_all_pairs(spark, block):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = hold_against_brute(spark, rows, block)
+    if block == chaindedup.BLOCK_BYTES:
+        query = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in queries.queries()["op6_chain_dedup"](spark, SF).collect()}
+        assert query == {i: (r["class_id"], r["n_links"]) for i, r in got.items()}
+
+
+@pytest.mark.parametrize("block", [3_000, 1 << 20])
+def test_links_that_are_not_transitive(spark, block):
+    random.seed(12)
+    rnd = lambda n: [f"w{random.randrange(10**9)}" for _ in range(n)]
+    base = rnd(200)
+    cut = lambda at: [w if (i + at) % 13 > 1 else f"x{at}{i}" for i, w in enumerate(base)]  # noqa: E731  identity 0.85 with the base, 0.7 with the other
+    texts = [cut(0), cut(6), base]
+    p, q = rnd(60), rnd(61)
+    texts += [p, [*p, *q[:3], *p], q, [*q, *q]]  # a passage twice in one text
+    passage = rnd(50)
+    excerpts = [passage[:29], passage[11:40], passage[21:50]]
+    texts += [[*rnd(20), *e, *rnd(20)] for e in excerpts] + [[*rnd(9), *passage, *rnd(9)]] + [[*rnd(20), *e, *rnd(20)] for e in excerpts] + [[*rnd(7), *passage]]
+    got = hold_against_brute(spark, [(i, " ".join(t)) for i, t in enumerate(texts)], block)
+    assert [(p["start"], p["end"]) for p in got[4]["passages"]] == [(0, 60), (63, 123)]
+    assert [(p["start"], p["end"]) for p in got[6]["passages"]] == [(0, 61), (61, 122)]
+    assert got[14]["class_id"] == got[10]["class_id"] == 10 and got[2]["n_links"] == 2
+
+
+@pytest.mark.parametrize("block", [4_000, 1 << 20])
+def test_frequent_passages(spark, block):
+    random.seed(13)
+    rnd = lambda n: [f"w{random.randrange(10**9)}" for _ in range(n)]
+    exact, line, fuzzy = rnd(40), rnd(20), rnd(60)
+    rows = []
+    for i in range(120):  # all seeds are far more frequent than RARE
+        kind = i % 4
+        vary = list(fuzzy)
+        for at in random.sample(range(60), 3):
+            vary[at] = f"v{i}{at}"
+        a = random.randrange(11)
+        body = [exact, exact[a : a + 30], line, vary][kind]
+        rows.append((i, " ".join([*rnd(random.randrange(5, 30)), *body, *rnd(random.randrange(5, 30))])))
+    got = hold_against_brute(spark, rows, block, least_recall=0.0)
+    assert all(got[i]["n_links"] == 0 for i in range(2, 120, 4))
+
+
+def test_passages_of_odd_rows(spark):
+    random.seed(14)
+    rnd = lambda n: " ".join(f"w{random.randrange(300)}" for _ in range(n))
+    p, long = rnd(45), rnd(40_000)
+    rows = [(3, p), (3, p), (None, p), (None, None), (5, None), (6, ""), (7, "one two"), (7, "one two"), (8, f"{rnd(9)} {p}"), (9, long), (10, long), (11, "a " * 5000), (12, "a " * 40)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, passages string, class_id int")
+    got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in chaindedup.passage_classes(df).collect()), key=str)
+    assert got == sorted([(3, 3, 3), (3, 3, 3), (None, 3, 3), (None, None, 0), (5, 5, 0), (6, 6, 0), (7, 7, 0), (7, 7, 0), (8, 3, 1), (9, 9, 1), (10, 9, 1), (11, 11, 1), (12, 11, 1)], key=str)
+    assert chaindedup.passage_classes(df.limit(0)).count() == 0
 
 
 def test_links_of_covered_words_are_kept(spark):
@@ -214,14 +324,6 @@ def test_links_of_covered_words_are_kept(spark):
     assert got[3]["n_links"] == 3 and got[2]["n_links"] >= 1
 
 
-def brute_chain(x, y, width=5, gap=0.1):
-    order = sorted(range(len(x)), key=lambda i: x[i])
-    best = [0.0] * len(x)
-    for n, i in enumerate(order):
-        best[i] = width + max([0.0] + [best[j] - gap * (x[i] - x[j] + y[i] - y[j]) + min(width, x[i] - x[j], y[i] - y[j]) - width for j in order[:n] if x[j] < x[i] and y[j] < y[i]])
-    return max(best)
-
-
 def test_fenwick_tree_gives_prefix_maxima():
     random.seed(4)
     tree, seen = chaindedup.Fenwick(50), []
