@@ -5,14 +5,16 @@ Every document gets an exponential key ``-ln(u) / weight``; ``u`` is a hash of i
 first; the fraction that is left is the prefix, in order of keys, whose words come nearest to it.
 
 The order is never made by sorting a source in one task. A source of n documents has about
-sqrt(n) buckets of keys with sqrt(n) documents each; the words of buckets are summed before the
-shuffle and prefix-summed; only the one bucket of each source in which the budget ends is sorted.
-What it yields is one cut key a source, so selection is a comparison without a shuffle, however hot
+sqrt(n) buckets of keys with about sqrt(n) documents each, whatever its weights: a key's bucket is its
+place in the distribution that the source's numbers of documents by weight give. The words of
+buckets are summed before the shuffle and prefix-summed; only the one bucket of each source in
+which the budget ends is sorted. What it yields is one cut key a source, so selection is a comparison without a shuffle, however hot
 a source is.
 
-Defined cases: null texts have size 0; the null source is a source, the last; equal rows have
-equal keys and are taken alike; sources without words have target 0; an empty table gives an
-empty result; columns named like a result column give way to it.
+Defined cases: null and empty texts have size 0; the null source is a source, the last; repeated
+rows have equal keys and are taken alike; a very long text is taken whole or not, as comes nearer
+to the target; sources without words have target 0; an empty table gives an empty result; columns
+named like a result column give way to it.
 """
 
 from __future__ import annotations
@@ -38,12 +40,12 @@ def default_weight(text: Column, size: Column) -> Column:
 
 
 def with_keys(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", weight: Column | None = None) -> DataFrame:
-    """``docs`` with ``size``, ``_h`` (hash of id and text) and ``_key``."""
+    """``docs`` with ``size``, ``_h`` (hash of id and text), ``_w`` (weight) and ``_key``."""
     text = F.col(text_col)
     sized = docs.withColumn("size", size_of(text))
     h = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("#"), F.coalesce(F.md5(text), F.lit(""))))
     u = (F.conv(F.substring("_h", 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    return sized.withColumn("_h", h).withColumn("_key", -F.log(u) / (default_weight(text, F.col("size")) if weight is None else weight))
+    return sized.withColumn("_h", h).withColumn("_w", default_weight(text, F.col("size")) if weight is None else weight).withColumn("_key", -F.log(u) / F.col("_w"))
 
 
 def source_targets(keyed: DataFrame, source_col: str, cycle: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -71,6 +73,7 @@ def source_targets(keyed: DataFrame, source_col: str, cycle: tuple[float, ...],
 def source_cuts(keyed: DataFrame, source_col: str = "source", cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The targets, with complete ``epochs`` and the bucket and last key of the fraction."""
     plan = source_targets(keyed, source_col, cycle, share, cap)
+    plan = plan.join(weight_levels(keyed, source_col), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
     plan = plan.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", F.col("source_size").cast("double"))), F.lit(0)).cast("long"))
     plan = materialize(
         plan.withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("n_buckets", F.ceil(F.sqrt(F.col("n_docs").cast("double")))), "targets"
@@ -90,9 +93,18 @@ def source_cuts(keyed: DataFrame, source_col: str = "source", cycle: tuple[float
     return materialize(cuts.join(last, F.col("_source").eqNullSafe(F.col("_at")), "left").drop("_at"), "cuts")
 
 
+def weight_levels(keyed: DataFrame, source_col: str) -> DataFrame:
+    """A row for each source: ``levels``, the shares of its documents by weight, in steps of a quarter of a power of 2."""
+    step = F.floor(F.log2("_w") * 4)
+    counts = keyed.groupBy(F.col(source_col).alias("_s"), step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    one = F.struct(F.pow(F.lit(2.0), (F.col("step") + 0.5) / 4).alias("rate"), F.col("n").cast("double").alias("n"))
+    return counts.groupBy("_s").agg(F.array_sort(F.collect_list(one)).alias("levels"))  # as many entries as there are steps
+
+
 def _bucket() -> Column:
-    """Grows with the key; for weights about 1, of about even frequency."""
-    return F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * F.col("n_buckets"))
+    """Grows with the key, and is of about even frequency: weights of rate r have keys up to k with probability 1 - exp(-r k)."""
+    below = F.aggregate("levels", F.lit(0.0), lambda s, x: s + x["n"] * (F.lit(1.0) - F.exp(-F.col("_key") * x["rate"])))
+    return F.floor(below / F.col("n_docs") * F.col("n_buckets"))
 
 
 def _hinted(rows: DataFrame, few: DataFrame, on: Column, how: str) -> DataFrame:
@@ -112,7 +124,7 @@ def apply_cuts(keyed: DataFrame, cuts: DataFrame, source_col: str = "source") ->
         (_bucket() < F.col("cut_bucket")) | (_bucket() == F.col("cut_bucket")) & F.coalesce(F.struct("_key", "_h") <= F.col("cut"), F.lit(False))
     )
     times = F.col("epochs") + F.when(inside, 1).otherwise(0)
-    kept = [F.col(c) for c in rows.columns if c not in ("_key", "_h")]
+    kept = [F.col(c) for c in rows.columns if c not in ("_key", "_h", "_w")]
     return placed.withColumn("times", times.cast("long")).select(*kept, "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
