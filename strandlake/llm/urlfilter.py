@@ -2,7 +2,8 @@
 
 A rule is a host and a path prefix (it fits the host and all its subdomains) or a wildcard pattern
 over the URL. Tokens that every fitting URL must hold whole are its literals; the rarest of them,
-counted over all URLs, is the rule's only entry in the index. A URL's tokens fetch candidate
+counted over all URLs, is the rule's only entry in the index. A pattern's literals are its runs of
+word characters that have another character, or a border, on both sides. A URL's tokens fetch candidate
 rules, and only those run their regular expressions; rules without a literal are always run.
 Of the host rules that fit, the longest wins; without one the longest fitting pattern decides;
 without that the URL is allowed.
@@ -12,7 +13,9 @@ each block's pass keeps the longest rule so far. No shuffle of URLs takes place,
 are frequent.
 
 Defined cases: a null URL or one without ``://`` has empty host and path and fits no host rule;
-repeated rows are judged each; of rules with equal length the smaller text wins, then block.
+a very long URL is judged whole; repeated rows are judged each; of rules with equal length the
+smaller text wins, then block; an empty table gives an empty result, and without rules every URL is
+allowed; columns named like a result column give way to it.
 """
 
 from __future__ import annotations
@@ -59,7 +62,8 @@ class UrlRule:
         """Tokens that are whole tokens of every URL that fits."""
         raw = self.text.encode().lower()
         if self.is_pattern:
-            return {m[1] for m in re.finditer(rb"(?<=\^)([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)(?=\^)", raw)}
+            runs = re.finditer(rb"(?<=[^*])[^\x00-\x2F\x3A-\x60\x7B-\x7F]+(?=[^*])", raw, re.DOTALL)
+            return {m[0] for m in runs if not ALNUM[raw[m.start() - 1]] and not ALNUM[raw[m.end()]]}
         found = raw.translate(ALNUM_TRANSLATE).split()
         if ALNUM[raw[-1]]:  # the last token may go on in the URL
             found = found[:-1]
