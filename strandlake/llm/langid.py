@@ -6,12 +6,14 @@ language whose codeword has the least loss, each bit's loss weighted by how well
 did in fitting, is chosen; a close second flags the document as ambiguous. Texts are judged whole
 in one Arrow pass with a fixed-size model.
 
-The model is fitted on at most ``FIT_DOCS`` labelled documents, an equal share for each language:
-those with the smallest hashes.
-
-Defined cases: a null text, or one without letters, is ``und`` with score 0; null languages teach
-nothing; with no labelled text everything is ``und``; of equal losses the first language in order
-wins; languages beyond the ``MAX_LANGS`` most frequent are not learned.
+The model is fitted on at most ``FIT_DOCS`` labelled documents (one for each language at least), an
+equal share for each language: those with the smallest hashes of id and text. Every language that
+the labels name is learned.
+
+Defined cases: a null or empty text, or one without letters, is ``und`` with score 0; null languages
+teach nothing; with no labelled text, as in an empty table, everything is ``und``; of equal losses the
+first language in order wins; repeated rows are judged each; very long texts are judged whole;
+columns named like a result column give way to it, others are kept.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ from .arrow import map_arrow, plus
 from .kernel import slices, text_bytes, with_columns
 
 FIT_DOCS = 2400
-MAX_LANGS = 500
 BUCKETS = 4096
 UNKNOWN = "und"
 #: Rows of histograms held at once.
@@ -136,19 +137,19 @@ def train(x: np.ndarray, lang: np.ndarray, langs: list[str], steps: int = 150, l
     return LanguageModel(langs, code, w, b, np.maximum(right - 0.5, 0.01).astype(np.float32))
 
 
-def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Column | None = None, fit_docs: int = FIT_DOCS, max_langs: int = MAX_LANGS) -> LanguageModel | None:
+def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Column | None = None, fit_docs: int = FIT_DOCS, id_col: str = "doc_id") -> LanguageModel | None:
     """A model from labelled documents; ``where`` says which may teach."""
     rows = docs if where is None else docs.where(where)
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     if not counts:
         return None
     langs = sorted(counts)
     each = max(1, fit_docs // len(langs))
     spark = docs.sparkSession
     part = spark.createDataFrame([(k, min(1.0, 1.5 * each / counts[k] + 20 / counts[k])) for k in langs], "lang string, part double")
-    u = (F.shiftrightunsigned(F.xxhash64("text"), 11)).cast("double") / float(1 << 53)
-    chosen = rows.withColumn("u", u).join(F.broadcast(part), "lang").where(F.col("u") < F.col("part"))  # at most max_langs rows
+    u = (F.shiftrightunsigned(F.xxhash64("id", "text"), 11)).cast("double") / float(1 << 53)
+    chosen = rows.withColumn("u", u).drop("id").join(F.broadcast(part), "lang").where(F.col("u") < F.col("part"))  # a row for each language
 
     def extract(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         for batch in batches:
