@@ -153,6 +153,19 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int, whole_short: bool) ->
     return h, starts
 
 
+def within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def sorted_unique(x: np.ndarray) -> np.ndarray:
+    """The different values in order, by sorting."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array], schema: pa.Schema) -> pa.RecordBatch:
     """The batch with columns added, or put in the place of those of the same name."""
     return pa.RecordBatch.from_arrays([new[f.name] if f.name in new else batch.column(f.name) for f in schema], schema=schema)

@@ -12,15 +12,18 @@ Documents are packed into blocks of a few MB, stored once. Then
 2. for the others a block sends the suffix at the anchor and the context to its left, cut to the
    windows that belong to the anchor. Equal contexts of a block are one record with its least and
    largest document id, so a passage that is in a third of all documents is one record a block.
-   Sampled splitters range-partition the records by their leading bytes; frequent leading grams
-   are dealt out by whole windows instead. Each bucket sorts its suffixes by multikey quicksort
-   (eight bytes a character), groups equal ones, and compares windows of neighbouring suffixes that
-   differ within their reach; grams never straddle a boundary, so nothing is missed there;
+   Sampled splitters range-partition the records by their leading bytes; the sample grows with the
+   buckets. Frequent leading grams are dealt out by whole windows instead. Each bucket sorts its
+   suffixes by multikey quicksort (eight bytes a character), groups equal ones, and compares windows
+   of neighbouring suffixes that differ within their reach. Across boundaries the leading grams
+   decide: a splitter is one, so equal grams are in one bucket, and suffixes whose grams differ
+   can't share a window of this anchor;
 3. blocks get the least document of their windows back and cut out what is covered.
 
 Defined cases: null texts are empty; a null id counts as larger than all others, and rows of equal
-or null ids don't remove from one another; texts shorter than ``length`` are kept; an empty table
-gives an empty result; other columns are not returned.
+or null ids don't remove from one another; texts shorter than ``length`` are kept; a text longer
+than a block is a block of its own, whole; an empty table gives an empty result; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -37,14 +40,16 @@ from pyspark.sql import types as T
 
 from ..store import discard, materialize
 from .arrow import map_arrow
-from .kernel import BYTE_VALUE, _powers, mix, text_bytes
+from .kernel import BYTE_VALUE, _powers, mix, sorted_unique, text_bytes, within
 
 LENGTH, GRAM = 50, 20
 BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 100_000
 #: Bytes of text whose anchors are computed at once.
 _PART = 1 << 20
-#: Blocks and anchors of each that splitters are sampled from.
-SAMPLE_BLOCKS, SAMPLE_ANCHORS = 32, 2000
+#: Anchors of each block, spread over it, that splitters are sampled from; so the sample grows with the buckets.
+SAMPLE_ANCHORS = 64
+#: Rows up to which a stretch isn't parted by a pivot.
+SMALL_ROWS = 1 << 14
 _NO_ID = np.iinfo(np.int64).max
 
 BLOCK = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("valid", T.BinaryType()), T.StructField("lens", T.BinaryType()), T.StructField("z", T.BinaryType()), T.StructField("size", T.LongType())])
@@ -75,27 +80,51 @@ def unpack_arrays(data: bytes, *kinds: str) -> list[np.ndarray]:
 def group_rows(rows: np.ndarray, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Multikey quicksort: an order of the rows (uint8) and where a new value begins in it.
 
-    Characters are eight bytes; from the second on only rows that are still tied are sorted.
+    Characters are eight bytes. A stretch of rows that agree before a character is parted there by
+    a pivot into smaller, equal and larger ones, and only the equal ones go on to the next
+    character; stretches of up to ``SMALL_ROWS`` are finished by :func:`_group_few`.
     ``groups``: numbers that come before the first character.
     """
     n, width = rows.shape
-    if n == 0:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
     padded = np.zeros((n, -(-max(width, 1) // 8) * 8), np.uint8)
     padded[:, :width] = rows
-    words = padded.view(">u8")
-    first = words[:, 0].astype(np.uint64) if groups is None else groups
-    order = np.argsort(first, kind="stable")
-    new = np.ones(n, bool)
-    new[1:] = first[order[1:]] != first[order[:-1]]
-    for c in range(0 if groups is not None else 1, words.shape[1]):
+    chars = [c.astype(np.uint64) for c in padded.view(">u8").T]
+    if groups is not None:
+        chars.insert(0, groups.astype(np.uint64))
+    order, new = np.arange(n), np.zeros(n, bool)
+    todo = [(0, n, 0)] if n else []
+    while todo:
+        lo, hi, c = todo.pop()
+        if c == len(chars):
+            new[lo] = True
+        elif hi - lo <= SMALL_ROWS:
+            order[lo:hi], new[lo:hi] = _group_few(order[lo:hi], chars[c:])
+        else:
+            at = order[lo:hi]
+            key = chars[c][at]
+            pivot = np.sort(key[:: max(1, len(key) // 64)])[len(key[:: max(1, len(key) // 64)]) // 2]
+            less, more = key < pivot, key > pivot
+            same = ~(less | more)
+            x, y = lo + int(less.sum()), hi - int(more.sum())
+            order[lo:hi] = np.concatenate([at[less], at[same], at[more]])
+            todo += [part for part in ((lo, x, c), (x, y, c + 1), (y, hi, c)) if part[0] < part[1]]
+    return order, new
+
+
+def _group_few(order: np.ndarray, chars: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in order of their characters, and where a new value begins; from the second character on only rows that are still tied are sorted."""
+    order = order[np.argsort(chars[0][order], kind="stable")]
+    first = chars[0][order]
+    new = np.ones(len(order), bool)
+    new[1:] = first[1:] != first[:-1]
+    for char in chars[1:]:
         tied = ~new
         tied[:-1] |= ~new[1:]
         at = np.flatnonzero(tied)
         if not at.size:
             break
         group = np.cumsum(new)[at]
-        key = words[order[at], c].astype(np.uint64)
+        key = char[order[at]]
         inner = np.lexsort((key, group))
         order[at] = order[at[inner]]
         key, group = key[inner], group[inner]
@@ -257,24 +286,31 @@ def with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def ask_grams(blocks: DataFrame, n_buckets: int, length: int, gram: int) -> DataFrame:
-    """Phase 1: for each block, 32 bits of the gram hashes that another block has too."""
+    """Phase 1: for each block, 32 bits of the gram hashes that another block has too; and, in buckets below 0, samples of its grams."""
 
     def ask(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, b, _ in open_blocks(batch, length, gram):
-                h = np.unique(b.hash)
+                h = sorted_unique(b.hash)
                 bucket = gram_bucket(h, n_buckets)
                 order = np.lexsort(((h & np.uint64(0xFFFFFFFF)), bucket))
                 low, bucket = (h[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), bucket[order]
                 edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-                yield messages([(int(bucket[x]), block, pack_arrays(np.unique(low[x:y]))) for x, y in zip(edge, np.append(edge[1:], len(bucket)), strict=True)], schema)
+                rows = [(int(bucket[x]), block, pack_arrays(sorted_unique(low[x:y]))) for x, y in zip(edge, np.append(edge, len(bucket))[1:], strict=True)]
+                if len(b.place):
+                    at = np.linspace(0, len(b.place) - 1, min(SAMPLE_ANCHORS, len(b.place))).astype(np.int64)
+                    rows.append((-1 - block % n_buckets, block, np.lib.stride_tricks.sliding_window_view(b.data, gram)[b.place[at]].tobytes()))
+                yield messages(rows, schema)
 
     def answer(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         for bucket, of, data in by_bucket(batches):
+            if bucket < 0:  # samples pass
+                yield messages([(bucket, block, d) for block, d in zip(of, data, strict=True)], schema)
+                continue
             parts = [unpack_arrays(d, "<u4")[0] for d in data]
             value = np.sort(np.concatenate(parts))
-            shared = np.unique(value[1:][value[1:] == value[:-1]])
-            found = [(bucket, block, p[np.isin(p, shared, assume_unique=True)]) for block, p in zip(of, parts, strict=True)]
+            shared = sorted_unique(value[1:][value[1:] == value[:-1]])
+            found = [(bucket, block, p[within(p, shared)]) for block, p in zip(of, parts, strict=True)]
             yield messages([(k, block, pack_arrays(p)) for k, block, p in found if len(p)], schema)
 
     return map_arrow(send(map_arrow(blocks, ask, MESSAGE)), answer, MESSAGE)
@@ -284,29 +320,33 @@ def gram_bucket(h: np.ndarray, n_buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
 
 
-def sample_splitters(blocks: DataFrame, n_buckets: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Leading grams that cut the sampled ones into even parts, and those too frequent for one part."""
+def sample_splitters(answers: DataFrame, n_buckets: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leading grams that cut the sampled ones into about even parts, and those too frequent for one part; at most about ``n_buckets`` each.
+
+    The sample is sorted by ranges; every so many grams of a range are a cut.
+    """
 
     def take(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, b, _ in open_blocks(batch, length, gram):
-                at = np.unique(np.linspace(0, max(0, len(b.place) - 1), min(SAMPLE_ANCHORS, len(b.place))).astype(np.int64))
-                grams = np.lib.stride_tricks.sliding_window_view(b.data, gram)[b.place[at]] if len(at) else np.zeros((0, gram), np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array([g.tobytes() for g in grams], pa.binary())], schema=schema)
-
-    few = blocks.orderBy(F.xxhash64("block"), "block").limit(SAMPLE_BLOCKS)
-    grams = sorted(bytes(r[0]) for r in map_arrow(few, take, T.StructType([T.StructField("gram", T.BinaryType())])).collect())
-    if not grams:
-        return np.zeros((0, gram), np.uint8), np.zeros((0, gram), np.uint8)
-    hot, i = [], 0
-    while i < len(grams):
-        j = i
-        while j < len(grams) and grams[j] == grams[i]:
-            j += 1
-        if j - i >= max(20, len(grams) / (2 * n_buckets)):
-            hot.append(grams[i])
-        i = j
-    cuts = sorted({grams[len(grams) * k // n_buckets] for k in range(1, n_buckets)})
+            for data in batch.column("data").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([data[i : i + gram] for i in range(0, len(data), gram)], pa.binary())], schema=schema)
+
+    grams = materialize(map_arrow(answers.where("bucket < 0").select("data"), take, T.StructType([T.StructField("gram", T.BinaryType())])), "sample")
+    total = grams.count()
+    each = max(1, total // n_buckets)
+
+    def cut(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            upto = seen + batch.num_rows
+            at = [i - seen for i in range(-(-max(seen, 1) // each) * each, upto, each)]
+            seen = upto
+            yield batch.take(pa.array(at, pa.int64()))
+
+    found = map_arrow(grams.repartitionByRange("gram").sortWithinPartitions("gram"), cut, grams.schema) if n_buckets > 1 else grams.limit(0)
+    cuts = sorted({bytes(r[0]) for r in found.collect()})
+    hot = sorted(bytes(r[0]) for r in grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(20.0, total / (2 * n_buckets))).collect())
+    discard(grams)
     matrix = lambda x: np.frombuffer(b"".join(x), np.uint8).reshape(len(x), gram)
     return matrix(cuts), matrix(hot)
 
@@ -342,8 +382,9 @@ def ask_windows(blocks: DataFrame, cuts: np.ndarray, hot: np.ndarray, n_buckets:
                     is_hot[bisect.bisect_left(lead, g) : bisect.bisect_right(lead, g)] = True
                 out = []
                 cold = np.flatnonzero(~is_hot)
-                edge = np.unique(np.concatenate([[0], np.searchsorted(cold, cut_places(rows[:, :gram], cuts)), [len(cold)]]))
-                where = np.searchsorted(np.searchsorted(cold, cut_places(rows[:, :gram], cuts)), edge[:-1], side="right")
+                place = np.searchsorted(cold, cut_places(rows[:, :gram], cuts))
+                edge = np.unique(np.concatenate([[0], place, [len(cold)]]))
+                where = np.searchsorted(place, edge[:-1], side="right")
                 for bucket, x, y in zip(where, edge[:-1], edge[1:], strict=True):
                     at = cold[x:y]
                     out.append((int(bucket), block, pack_arrays(rows[at], least[at], most[at] - least[at], number[at].astype("<u4"))))
@@ -365,7 +406,7 @@ def ask_windows(blocks: DataFrame, cuts: np.ndarray, hot: np.ndarray, n_buckets:
                     for x, y in zip(edge, np.append(edge[1:], len(order)), strict=True):
                         k = order[x:y]
                         a = at[each[k]]
-                        out.append((n_buckets + int(deal[k[0]]), block, pack_arrays(win[k], least[a], most[a] - least[a], number[a].astype("<u4"))))
+                        out.append((len(cuts) + 1 + int(deal[k[0]]), block, pack_arrays(win[k], least[a], most[a] - least[a], number[a].astype("<u4"))))
                 yield messages(out, schema)
 
     def answer(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -393,7 +434,7 @@ def chosen_anchors(b: Block, answers: list | None, n_grams: int) -> np.ndarray:
         bucket = np.concatenate([np.full(len(v), a["bucket"], np.uint64) for a in answers for v in unpack_arrays(a["data"], "<u4")])
         value = np.concatenate([v for a in answers for v in unpack_arrays(a["data"], "<u4")]).astype(np.uint64)
         mine = (gram_bucket(b.hash, n_grams).astype(np.uint64) << np.uint64(32)) | (b.hash & np.uint64(0xFFFFFFFF))
-        keep |= np.isin(mine, (bucket << np.uint64(32)) | value)
+        keep |= within(mine, np.sort((bucket << np.uint64(32)) | value))
     return np.flatnonzero(keep)
 
 
@@ -493,9 +534,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = make_blocks(docs, id_col, text_col, block_bytes)
     total = blocks.agg(F.sum("size")).first()[0] or 0
     n_buckets = int(min(max(1, -(-total // block_bytes)), 1 << 20))
-    cuts, hot = sample_splitters(blocks, n_buckets, length, gram)
     answers = materialize(ask_grams(blocks, n_buckets, length, gram), "grams")
-    asked = materialize(with_answers(blocks, answers), "asked")
+    cuts, hot = sample_splitters(answers, n_buckets, gram)
+    asked = materialize(with_answers(blocks, answers.where("bucket >= 0")), "asked")
     discard(blocks)
     discard(answers)
     minima = materialize(ask_windows(asked, cuts, hot, n_buckets, n_buckets, length, gram), "windows")
