@@ -20,9 +20,13 @@ first (1 - threshold) of their tokens, and their parity maps differ in no more p
 may in tokens, so all other pairs are ruled out exactly inside the join, without being made. Within
 a component no pair is made; nothing is capped.
 
-Defined cases: texts without words are in a class of their own; a text of fewer words than a
-shingle is one shingle; equal ids and null ids are kept apart as rows; classes are named by the
-least id in them.
+Near copies of a lower similarity than the threshold are no near-duplicates.
+
+Defined cases: null texts and texts without words are in classes of their own; a text of fewer words
+than a shingle is one shingle; repeated rows and rows of equal or null ids are kept apart; classes
+are named by the least id in them, of ties the row that is stored first stays; very long texts
+are signed whole; an empty table gives an empty result; extra columns are kept by
+:func:`drop_near_duplicates`, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from ..store import materialize
+from ..store import discard, materialize
 from .arrow import map_arrow
 from .kernel import ALNUM, mix, shingles, slices, span_hashes, text_bytes, word_bounds
 
@@ -264,8 +268,11 @@ def _mixed(crowded: DataFrame, links: DataFrame) -> DataFrame:
     of_hub = labels.select(F.col("uid").alias("hub_uid"), F.col("component").alias("hub_component"))
     placed = crowded.join(labels, "uid", "left").withColumn("hub_uid", F.col("hub.uid")).join(of_hub, "hub_uid", "left")
     placed = materialize(placed.select("key", "uid", "n", "hub", F.coalesce("component", "uid").alias("c"), F.coalesce("hub_component", "hub_uid").alias("hub_c"), "reach"), "placed")
-    mixed = materialize(placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") < F.col("c1")).select("key"), "mixed-keys")
-    return materialize(placed.join(mixed, "key"), "mixed")
+    keys = materialize(placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") < F.col("c1")).select("key"), "mixed-keys")
+    mixed = materialize(placed.join(keys, "key"), "mixed")
+    discard(placed)
+    discard(keys)
+    return mixed
 
 
 def near_duplicate_classes(signed: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
@@ -279,8 +286,12 @@ def near_duplicate_classes(signed: DataFrame, threshold: float = THRESHOLD, shin
     central = met.groupBy("uid").agg(F.sum("size").alias("reach"))
     reached = met.drop("size").join(central, "uid")
     reached = materialize(reached, "reached")
+    discard(shared)
+    discard(met)
     hubs = materialize(reached.groupBy("key").agg(F.max_by(F.struct("uid", "n"), F.struct("reach", -F.col("uid"))).alias("hub")), "hubs")
     crowded = materialize(reached.join(hubs, "key"), "buckets")
+    discard(reached)
+    discard(hubs)
     tried = _pairs(crowded.where(F.col("uid") != F.col("hub.uid")).select(F.col("hub.uid").alias("a"), F.col("hub.n").alias("na"), F.col("uid").alias("b"), F.col("n").alias("nb")), threshold)
     links = verify(tried, signed, shingle, threshold)
     for _ in range(hub_rounds):
@@ -297,6 +308,8 @@ def near_duplicate_classes(signed: DataFrame, threshold: float = THRESHOLD, shin
     token = materialize(cut.select("a", "b", F.explode("tokens").alias("token")).join(about, "b"), "prefixes")
     split = materialize(token.groupBy("a", "token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") < F.col("c1")).select("a", "token"), "split")
     met = materialize(token.join(split, ["a", "token"]).join(cut.select("a", "b", "parity"), ["a", "b"]), "met")
+    for stored in (crowded, mixed, cut, token, split):
+        discard(stored)
     x = met.select("a", "token", F.col("b").alias("ua"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("parity").alias("pa"))
     y = met.select("a", "token", F.col("b").alias("ub"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("parity").alias("pb"))
     apart = F.aggregate(F.zip_with("pa", "pb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
@@ -313,7 +326,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """A row for each document: id, ``class_id`` (least id of its class), ``class_size`` (documents) and ``n_shingles``."""
     signed = sign(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")), "text", bands, rows, shingle)
     classes = materialize(near_duplicate_classes(signed, threshold, shingle).join(signed.select("_uid", "_id", "_n"), "_uid"), "classes")
-    names = classes.groupBy("_class").agg(F.min("_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    names = materialize(classes.groupBy("_class").agg(F.min("_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "names")
+    discard(signed)
     return classes.join(names, "_class").select(F.col("_id").alias(id_col), "class_id", "class_size", F.col("_n").alias("n_shingles"))
 
 
@@ -322,7 +336,7 @@ def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str =
     others = [c for c in docs.columns if c != text_col]
     signed = sign(docs.select(F.struct(*others).alias("_row"), F.col(text_col).alias("text")), "text", bands, rows, shingle)
     classes = near_duplicate_classes(signed, threshold, shingle).join(signed.select("_uid", F.col(f"_row.{id_col}").alias("_id")), "_uid")
-    kept = classes.groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_uid")).alias("first")).select(F.col("first._uid").alias("_uid"))
+    kept = materialize(classes.groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_uid")).alias("first")).select(F.col("first._uid").alias("_uid")), "kept")
     rest = signed.select("_uid", "_row", "_z").join(kept, "_uid", "left_semi").select("_row", "_z")
     schema = T.StructType([rest.schema["_row"], T.StructField("_text", T.StringType())])
 
