@@ -14,8 +14,8 @@ The benchmark side is cut into blocks of at most ``block_windows`` windows; only
 index is ever broadcast at a time, and the documents pass through one Arrow function per block,
 so a benchmark of any size is joined whole.
 
-Defined cases: null or empty texts have no words and are never hit; repeated rows are judged
-each on their own; an empty benchmark leaves all documents clean; items that share an
+Defined cases: null or empty texts have no words and are never hit; very long texts are judged
+whole; repeated rows are judged each on their own; an empty table gives an empty result; an empty benchmark leaves all documents clean; items that share an
 ``item_id`` are one item; a null ``item_id`` counts as the empty string; columns of the input
 that are named like a result column give way to it.
 """

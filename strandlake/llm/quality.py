@@ -11,7 +11,9 @@ their ids; all statistics and verdicts cover every document.
 
 Defined cases: a null or empty text has no words and fails the base check; without labelled rows
 of both kinds there are no rules and only the base check rejects; repeated documents are judged
-each; of several labels of one document the lowest counts; a null label or id is no label.
+each; of several labels of one document the lowest counts; a null label or id is no label; very long
+texts are counted whole; an empty table gives an empty result; columns named like a result column
+give way to it.
 """
 
 from __future__ import annotations

@@ -15,8 +15,11 @@ shared folder under a name of the task attempt's own; only attempts that Spark c
 in the manifest, so retries after a lost executor leave no wrong shard behind.
 
 Defined cases: a null or empty text is only its end id; a null doc_id sorts first; repeated ids
-keep all their rows, ordered by text hash and text; an empty table gives no shard; extra columns
-are not stored.
+keep all their rows, ordered by text hash and text; a very long text spans as many blocks as it
+needs; an empty table gives no shard; extra columns are not stored.
+
+The folder must be one that pyarrow's file systems open on the executors (``file``, ``hdfs``, ``s3``,
+``gs``); schemes that only Hadoop's readers know fail at the first shard.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ length is encoded as short pieces; the lengths of frequent pieces are remembered
 a table of bounded size. Whether the boundaries are safe is read from the vocabulary; where they
 are not, whole texts go to the library.
 
-Defined cases: null and empty texts have no tokens; repeated rows are counted each; extra columns
-are kept, but for those named like a result column.
+Defined cases: null and empty texts have no tokens; repeated rows are counted each; an empty table
+gives an empty result; extra columns are kept, but for those named like a result column.
 """
 
 from __future__ import annotations
