@@ -485,3 +485,105 @@ def test_entry_has_one_query_for_each_operator():
 
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("weight", [None, 0.25, 0.5, 8.0])
+def test_key_buckets_are_even_for_any_weight(spark, weight):
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("source"), F.repeat(F.lit("word "), (F.col("id") % 7 + 1).cast("int")).alias("text"))
+    keyed = mixing.with_keys(rows, weight=None if weight is None else F.lit(weight))
+    cuts = mixing.source_cuts(keyed)
+    n = mixing._with_plan(keyed, "source", cuts).groupBy("_source", mixing._bucket().alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    for _, of in n.groupby("_source"):
+        assert of.n.max() < 3 * of.n.mean() and len(of) > 50
+
+
+def test_mixing_of_long_texts(spark):
+    rows = [(1, "a", "word " * 60_000), (2, "a", "x"), (3, None, None), (4, "b", "y " * 10)]
+    mixed = {r["doc_id"]: r for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert [mixed[i]["size"] for i in (1, 2, 3, 4)] == [60_000, 1, 0, 10] and all(r["taken"] <= 2 * r["size"] for r in mixed.values())
+
+
+def test_near_duplicates_with_clashing_names_and_long_texts(spark):
+    random.seed(2)
+    long = " ".join(f"w{random.randrange(900)}" for _ in range(60_000))
+    rows = [(1, long, "a"), (2, long + " end", "b"), (3, "short", "c"), (4, None, "d"), (4, None, "e"), (5, "", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, x string").selectExpr("doc_id", "text", "x AS _uid", "x AS _class", "x AS class_id", "x AS n_shingles", "x AS _row")
+    got = sorted(((r["doc_id"], r["class_id"], r["class_size"]) for r in bmh.near_duplicates(df).collect()), key=str)
+    assert got == [(1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 4, 1), (4, 4, 1), (5, 5, 1)]
+    kept = bmh.drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted((r["doc_id"], r["_uid"], r["_row"]) for r in kept.collect()) == [(1, "a", "a"), (3, "c", "c"), (4, "d", "d"), (4, "e", "e"), (5, "f", "f")]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_near_duplicate_query_against_all_pairs(spark, sf):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()]
+    h, first = bmh.bags(*text_bytes(pa.array([t for _, t in rows])))
+    bags = [np.sort(h[first[i] : first[i + 1]]) for i in range(len(rows))]
+    holders = defaultdict(set)
+    for i, bag in enumerate(bags):
+        for x in set(bag.tolist()):
+            holders[x].add(i)
+    met = {(i, j) for s in holders.values() if 1 < len(s) for i in s for j in s if i < j}
+    sizes = [len(b) for b in bags]
+    links = [(i, j) for i, j in met if min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j]) and bmh.overlap(bags[i], bags[j]) >= 0.8]
+    of, ids = union_find(range(len(rows)), links), defaultdict(list)
+    for i, root in of.items():
+        ids[root].append(rows[i][0])
+    got = {r["doc_id"]: r["class_id"] for r in queries.queries()["op9_near_duplicates"](spark, f"/root/testdata/{sf}").collect()}
+    assert got == {i: min(group) for group in ids.values() for i in group}
+
+
+def test_repeats_beside_other_columns_and_in_long_texts(spark):
+    random.seed(5)
+    long = "".join(random.choice("abcdefgh ") for _ in range(300_000))
+    rows = [(1, long), (2, "x" * 10 + long[1000:201_000] + "y" * 30), (3, ""), (4, None), (4, long[:60])]
+    df = spark.createDataFrame([(*r, b"z") for r in rows], "doc_id long, text string, z binary").selectExpr("*", "z AS block", "z AS ids", "z AS kept", "z AS removed")
+    cut = suffixdedup.remove_repeats(df, block_bytes=50_000)
+    got = sorted(((r["doc_id"], r["n_bytes"], [tuple(s) for s in r["removed"]]) for r in cut.collect()), key=str)
+    assert got == sorted([(1, 300_000, []), (2, 200_040, [(10, 200_010)]), (3, 0, []), (4, 0, []), (4, 60, [(0, 60)])], key=str)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 400), st.integers(1, 30), st.booleans())
+def test_multikey_quicksort_groups_equal_rows(seed, n, width, grouped):
+    rng = np.random.default_rng(seed)
+    rows = rng.integers(0, 2, (n, width)).astype(np.uint8)
+    groups = rng.integers(0, 3, n).astype(np.uint64) if grouped else None
+    small, suffixdedup.SMALL_ROWS = suffixdedup.SMALL_ROWS, 8
+    try:
+        order, new = suffixdedup.group_rows(rows, groups)
+    finally:
+        suffixdedup.SMALL_ROWS = small
+    keys = [((int(groups[i]) if grouped else 0), rows[i].tobytes()) for i in order]
+    assert sorted(order.tolist()) == list(range(n)) and keys == sorted(keys)
+    assert new.tolist() == [i == 0 or keys[i] != keys[i - 1] for i in range(n)]
+
+
+CLASHES = ("n_words", "items", "spans", "target", "SIZE", "times", "kept", "_key", "_uid", "shard", "ids", "contaminated", "base_failed")
+
+
+def test_pipeline_stages_keep_odd_rows_and_columns(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    clean = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()][:40]
+    rows = [tuple(r) for r in clean] + [(9001, None, None, None, None), (9002, "", "xx", "s", 0), (None, clean[0]["text"], None, None, None), (clean[1]["doc_id"], clean[1]["text"], "en", "s", 3), (9003, "word " * 100_000, "en", None, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for i, c in enumerate(CLASHES):
+        df = df.withColumn(c, F.concat(F.lit(f"{i}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    as_set = lambda d: {tuple(r) for r in d.collect()}
+    every = as_set(df)
+    spark.conf.set("spark.strandlake.output.dir", str(tmp_path))
+    for name, stage in cp.STAGES:
+        out = stage(spark, df, SF)
+        if name != "token output":
+            assert out.schema.simpleString() == df.schema.simpleString()
+            assert as_set(out) <= every
+            kept = {r["doc_id"] for r in out.collect()}
+            assert kept & {r["doc_id"] for r in clean}
+            assert (9001 in kept) == (name in ("near-duplicates", "decontamination")) or name == "source mix"
+        else:
+            assert out.count() == df.count()
+        empty = stage(spark, df.limit(0), SF)
+        assert empty.count() == 0 and empty.columns == out.columns
+    assert any(tmp_path.rglob("*.bits"))
+    spark.conf.unset("spark.strandlake.output.dir")

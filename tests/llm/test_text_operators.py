@@ -219,3 +219,81 @@ def test_item_digest(spark):
     got = {r["doc_id"]: r for r in queries.queries()["op1_decontaminate"](spark, SF).collect()}
     clean = next(r for r in got.values() if not r["contaminated"])
     assert clean["items_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_patterns_are_indexed_by_bounded_tokens(spark):
+    lit = lambda t: urlfilter.UrlRule(t, "block", True).literals()
+    assert lit("/ads/") == {b"ads"} and lit(".casino.") == {b"casino"} and lit("^cheap-pills^") == {b"cheap", b"pills"}
+    assert lit("ads*banner^") == set() and lit("/a*b/c/") == {b"c"} and lit("x/track/") == {b"track"}
+    rules = [urlfilter.UrlRule(f"/word{i}/", "block", True) for i in range(3000)] + [urlfilter.UrlRule(f"site{i}.org/", "block") for i in range(3000)]
+    index, always = urlfilter.rule_index(rules, {b"org": 90})
+    assert not always and max(map(len, index.values())) <= 2  # a token fetches these, and only they run their expressions
+    urls = [(i, f"http://h{i}.com/word{i}/x?q={i}") for i in range(40)] + [(100, "http://a.site7.org/"), (101, "http://site70.org.uk/"), (102, None), (103, ""), (104, "http://big.com/" + "a/" * 50_000 + "word5/")]
+    df = spark.createDataFrame([(*u, "x") for u in urls + urls[:2]], "page_id long, url string, verdict string")
+    got = [(r["page_id"], r["verdict"]) for r in urlfilter.filter_urls(df, rules, block_rules=1000).collect()]
+    want = {i: "block" for i in [*range(40), 100, 104]} | {i: "allow" for i in (101, 102, 103)}
+    assert len(got) == len(urls) + 2 and dict(got) == want
+    assert urlfilter.filter_urls(df.limit(0), rules[:5]).count() == 0
+
+
+def test_decoding_takes_the_nearest_codeword():
+    rng = np.random.default_rng(3)
+    n = 9
+    code = langid.code_matrix(n)
+    model = langid.LanguageModel([f"l{i}" for i in range(n)], code, rng.normal(size=(20, code.shape[1])).astype(np.float32), rng.normal(size=code.shape[1]).astype(np.float32), rng.random(code.shape[1]).astype(np.float32) + 0.1)
+    x = rng.normal(size=(30, 20)).astype(np.float32)
+    best, score, close = model.decide(x, 0.05)
+    for row, b, s, c in zip(x, best, score, close, strict=True):
+        f = [sum(float(row[k]) * float(model.weights[k, j]) for k in range(20)) + float(model.bias[j]) for j in range(code.shape[1])]
+        loss = [sum(float(t) * np.log1p(np.exp(-v * m)) for t, v, m in zip(model.trust, f, word, strict=True)) / float(model.trust.sum()) for word in code.tolist()]
+        order = sorted(range(n), key=lambda i: loss[i])
+        assert b == order[0] and 0 < s <= 1 and c == (loss[order[1]] - loss[order[0]] < 0.05) or abs(loss[order[1]] - loss[order[0]] - 0.05) < 1e-4
+
+
+def test_languages_of_odd_rows(spark):
+    random.seed(1)
+    rows = [(i, f"{random.choice(['ka', 'ke'])}tu " * random.randrange(5, 20) if i % 2 else f"{random.choice(['ri', 'ro'])}sso " * random.randrange(5, 20), "aa" if i % 2 else "bb", "x", 1) for i in range(60)]
+    rows += [(100 + i, rows[1][1], "aa", "x", 1) for i in range(50)] + [(200, None, "aa", "x", 1), (201, "", "bb", "x", 1), (202, "123 ...", None, "x", 1), (203, "katu " * 60_000, None, "x", 1), (203, "katu " * 60_000, None, "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score int")
+    model = langid.fit_languages(df)
+    assert model.langs == ["aa", "bb"]
+    got = langid.identify_languages(df, model).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    assert {r["lang_pred"] for r in got if r["doc_id"] in (200, 201, 202)} == {"und"} and {r["lang_pred"] for r in got if r["doc_id"] == 203} == {"aa"}
+    assert all(r["lang_pred"] == r["lang"] for r in got if r["doc_id"] < 60)
+    assert langid.fit_languages(df.limit(0)) is None and langid.identify_languages(df.limit(0), model).count() == 0
+    assert {r["lang_pred"] for r in langid.identify_languages(df.limit(3), None).collect()} == {"und"}
+    many = spark.range(3000).selectExpr("id AS doc_id", "concat('t', id, ' word') AS text", "concat('l', id % 700) AS lang")
+    counts = langid.fit_languages(many, fit_docs=1400)
+    assert len(counts.langs) == 700
+
+
+def test_counts_of_odd_rows(spark):
+    rows = [(1, "word " * 90_000, "a"), (2, None, "b"), (3, "", "c"), (3, "x x x x", "d"), (3, "x x x x", "d"), (None, "1 2\n1 2", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words string").withColumn("KEPT", F.lit("z")).withColumn("n_tokens", F.lit("z"))
+    judged = quality.judge_quality(df, []).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_dup_lines"], r["kept"]) for r in judged if r["doc_id"]) == [(1, 90_000, 0, False), (2, 0, 0, False), (3, 0, 0, False), (3, 4, 0, False), (3, 4, 0, False)]
+    assert [r["n_dup_lines"] for r in judged if r["doc_id"] is None] == [1]
+    assert quality.judge_quality(df.limit(0), []).count() == 0 and quality.fit_rules(df, spark.createDataFrame([], "doc_id long, quality int")) == []
+    counted = tokencount.count_tokens(df.limit(0), public_tokenizers.path("piece_bpe_32k.model"))
+    assert counted.count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_token_queries_are_the_libraries(spark, sf):
+    import zlib
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    docs = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect())
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = [(i, len(t.encode()), n := len(sp.encode(t)), n > 4096) for i, t in docs]
+    assert sorted(tuple(r) for r in queries.queries()["op7_token_counts"](spark, f"/root/testdata/{sf}").collect()) == want
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    at, want = 0, []
+    for i, t in docs:
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(tuple(r) for r in queries.queries()["op10_token_output"](spark, f"/root/testdata/{sf}").collect()) == want
