@@ -2,7 +2,8 @@
 
 All pairs of a batch go through the recurrence together, one cell at a time for every pair, so
 numpy works on whole batches. A gap of length L costs ``open + (L - 1) * extend``. Of equal scores
-a match is taken before a gap in the second sequence, and that before a gap in the first.
+a match is taken before a gap in the second sequence, and that before a gap in the first. Identity is
+the share of equal columns among those of both whole sequences, also for local alignments.
 """
 
 from __future__ import annotations
@@ -106,11 +107,20 @@ def align_batch(a: list[str], b: list[str], mode: str, match: float, mismatch: f
         now[k] = nxt
         if local:
             active[k] = nxt != _STOP
+    if local:  # the ends outside are columns too: they lie next to the aligned part, without gaps between
+        found = columns > 0
+        ahead, behind = np.minimum(i, j), np.minimum(n - best_i, m - best_j)
+        for t in range(int(np.where(found, np.maximum(ahead, behind), 0).max(initial=0))):
+            k = each[found & (t < ahead)]
+            same[k] += x[k, i[k] - 1 - t] == y[k, j[k] - 1 - t]
+            k = each[found & (t < behind)]
+            same[k] += x[k, best_i[k] + t] == y[k, best_j[k] + t]
+        columns += np.where(found, np.maximum(i, j) + np.maximum(n - best_i, m - best_j), 0)
     return score, np.where(columns > 0, 100.0 * same / np.maximum(columns, 1), 0.0)
 
 
 def alignment_identity(mode: str = "global", match: float = 2.0, mismatch: float = -1.0, open_: float = -0.5, extend: float = -0.1):
-    """A function of two string columns: percent of identical columns in the best alignment; 0 with an empty or null one."""
+    """A function of two string columns: percent of identical columns of both sequences, laid out by the best alignment; 0 with an empty or null one."""
     if mode not in ("global", "local"):
         raise ValueError(f"no such alignment: {mode}")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,11 +113,11 @@ def k_core(edges: DataFrame, k: int) -> DataFrame:
         left = new
 
 
-def closeness(edges: DataFrame, sources: DataFrame, max_hops: int = 32) -> DataFrame:
-    """(node, reached, distance, closeness) of the given sources by breadth-first joins."""
+def closeness(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, reached, distance, closeness) of the given sources by breadth-first joins, until nothing new is reached."""
     near = materialize(symmetric(edges).where(F.col("node") != F.col("neighbour")), "near")
     seen = materialize(sources.select("node").distinct().select(F.col("node").alias("source"), "node", F.lit(0).alias("hops")), "seen")
-    for hop in range(1, max_hops + 1):
+    for hop in itertools.count(1):
         edge = seen.where(F.col("hops") == hop - 1).join(near, "node").select("source", F.col("neighbour").alias("node")).distinct()
         fresh = materialize(edge.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("hops", F.lit(hop)), "seen")
         if fresh.isEmpty():
@@ -127,8 +129,8 @@ def closeness(edges: DataFrame, sources: DataFrame, max_hops: int = 32) -> DataF
 
 def edge_buckets(edges: DataFrame, n_partitions: int, n_chunks: int, seed: int = 42) -> DataFrame:
     """Integer edges with the partitions of their ends and a chunk, for bucketed training."""
-    part = lambda c: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n_partitions)).cast("int")
-    return edges.withColumns({"src_part": part("src"), "dst_part": part("dst"), "chunk": F.pmod(F.xxhash64("src", "rel", "dst", F.lit(seed)), F.lit(n_chunks)).cast("int")})
+    dealt = lambda n, *c: (F.conv(F.substring(keyed_order(seed, *c), 1, 8), 16, 10).cast("long") % n).cast("int")
+    return edges.withColumns({"src_part": dealt(n_partitions, "src"), "dst_part": dealt(n_partitions, "dst"), "chunk": dealt(n_chunks, "src", "rel", "dst")})
 
 
 def first_edges(edges: DataFrame, n: int, seed: int = 42) -> DataFrame:

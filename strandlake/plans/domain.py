@@ -57,27 +57,18 @@ PROTEINS = f"""proteins AS (
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, rel, dst) of the orders that ``TRIPLES`` has: customers interact with parts, parts are similar to suppliers."""
-    return _triples(table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0"), table(spark, sf_dir, "lineitem"), "l_orderkey % 20 = 0")
-
-
-def all_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, rel, dst) of all orders, each once."""
-    return _triples(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), "true").distinct()
-
-
-def _triples(o: DataFrame, li: DataFrame, similar: str) -> DataFrame:
+    """(src, rel, dst) of all orders: customers interact with parts, parts are similar to suppliers."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     bought = o.join(li, o["o_orderkey"] == li["l_orderkey"])
     a = bought.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.lit("interacts_with").alias("rel"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
-    b = li.where(similar).select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.lit("has_similarity").alias("rel"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
+    b = li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.lit("has_similarity").alias("rel"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
     return a.unionByName(b)
 
 
 TRIPLES = """triples AS (
-  SELECT 'c' || CAST(o_custkey AS VARCHAR) AS src, 'interacts_with' AS rel, 'p' || CAST(l_partkey AS VARCHAR) AS dst
-  FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = 0
+  SELECT 'c' || CAST(o_custkey AS VARCHAR) AS src, 'interacts_with' AS rel, 'p' || CAST(l_partkey AS VARCHAR) AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey
   UNION ALL
-  SELECT 'p' || CAST(l_partkey AS VARCHAR), 'has_similarity', 's' || CAST(l_suppkey AS VARCHAR) FROM lineitem WHERE l_orderkey % 20 = 0)"""
+  SELECT 'p' || CAST(l_partkey AS VARCHAR), 'has_similarity', 's' || CAST(l_suppkey AS VARCHAR) FROM lineitem)"""
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:

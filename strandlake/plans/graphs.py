@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as vec
 from ..operators import graph, linkpred
 from ..session import table
-from .domain import KGE, NODES, TRIPLES, all_triples, entities, links, nodes, relation, triples
+from .domain import KGE, NODES, TRIPLES, entities, links, nodes, relation, triples
 from .registry import query
 
 SPLIT = f"""{TRIPLES}, tr AS (SELECT DISTINCT src, rel, dst, md5(concat_ws('|', '42', src, rel, dst)) AS h FROM triples),
@@ -67,54 +67,59 @@ def graph_degree_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.top_degrees(triples(spark, sf_dir), 20)
 
 
-@query("triangle_count", f"WITH {KGE}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM lnk WHERE src <> dst AND src < 120 AND dst < 120), t AS (SELECT x.a, x.b, y.b AS c FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b) SELECT node, count(*) AS triangles FROM (SELECT unnest([a, b, c]) AS node FROM t) GROUP BY node")
+@query("triangle_count", f"WITH {KGE}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM lnk WHERE src <> dst), t AS (SELECT x.a, x.b, y.b AS c FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b) SELECT node, count(*) AS triangles FROM (SELECT unnest([a, b, c]) AS node FROM t) GROUP BY node")
 def triangle_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.triangles(links(spark, sf_dir).where("src < 120 AND dst < 120"))
+    return graph.triangles(links(spark, sf_dir))
 
 
 @query("k_core")
 def k_core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.k_core(all_triples(spark, sf_dir), 3)
+    return graph.k_core(triples(spark, sf_dir), 3)
 
 
 @query("closeness_centrality")
 def closeness_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = all_triples(spark, sf_dir)
+    t = triples(spark, sf_dir)
     found = graph.closeness(t, graph.symmetric(t).select("node").distinct())
     return found.orderBy(F.desc("closeness"), F.desc("reached"), "node").limit(200).withColumn("closeness", F.round("closeness", 6))
 
 
-@query("edge_buckets")
+@query("edge_buckets", f"WITH {TRIPLES}, h AS (SELECT CAST(('0x' || substr(md5('42|' || src), 1, 8)) AS BIGINT) % 4 AS a, CAST(('0x' || substr(md5('42|' || dst), 1, 8)) AS BIGINT) % 4 AS b, CAST(('0x' || substr(md5(concat_ws('|', '42', src, rel, dst)), 1, 8)) AS BIGINT) % 16 AS c FROM (SELECT DISTINCT src, rel, dst FROM triples)) SELECT CAST(a AS INTEGER) AS src_part, CAST(b AS INTEGER) AS dst_part, CAST(c AS INTEGER) AS chunk, count(*) AS n FROM h GROUP BY ALL")
 def edge_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = graph.edge_buckets(all_triples(spark, sf_dir), 4, 16)
-    return b.groupBy("src_part", "dst_part").agg(F.count(F.lit(1)).alias("n"))
+    b = graph.edge_buckets(triples(spark, sf_dir).distinct(), 4, 16)
+    return b.groupBy("src_part", "dst_part", "chunk").agg(F.count(F.lit(1)).alias("n"))
 
 
-# Links of the first entities as true ones, filtered by all links.
+# All links of different entities are true ones, and are filtered from the negatives.
 TRUE = f"""{KGE}, sym AS (SELECT src, dst FROM lnk UNION SELECT dst, src FROM lnk),
-tru AS (SELECT DISTINCT src, dst FROM lnk WHERE src % 25 = 0 AND src <> dst)"""
-NEG = f"""{TRUE}, cnt AS (SELECT src, count(*) * 3 AS n FROM tru GROUP BY src),
-fre AS (SELECT c.src, c.n, e.id AS dst FROM cnt c JOIN ent e ON e.id <> c.src WHERE NOT EXISTS (SELECT 1 FROM sym s WHERE s.src = c.src AND s.dst = e.id)),
-neg AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY md5(concat_ws('|', '42', CAST(src AS VARCHAR), CAST(dst AS VARCHAR))), dst) AS p FROM fre) WHERE p <= n)"""
+tru AS (SELECT DISTINCT src, dst FROM lnk WHERE src <> dst)"""
+NEG = f"""{TRUE}, num AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n_ids FROM ent),
+cnt AS (SELECT src, count(*) * {linkpred.NEGATIVES} AS n, md5(concat_ws('|', '42', CAST(src AS VARCHAR))) AS h FROM tru GROUP BY src),
+walk AS (SELECT src, n, n_ids, {list(linkpred.STEPS)}[CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % {len(linkpred.STEPS)} + 1] % n_ids AS step, CAST(('0x' || substr(h, 9, 8)) AS BIGINT) % n_ids AS start FROM cnt, (SELECT DISTINCT n_ids FROM num)),
+fre AS (SELECT b.src, b.n, b.j, num.id AS dst FROM (SELECT *, unnest(range(n_ids)) AS j FROM walk) b JOIN num ON num.i = (b.start + b.j * b.step) % b.n_ids AND num.id <> b.src
+  WHERE NOT EXISTS (SELECT 1 FROM sym s WHERE s.src = b.src AND s.dst = num.id)),
+neg AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY j) AS p FROM fre) WHERE p <= n)"""
+_SUMS = "".join(f", count(*) FILTER (label = 1 AND rank <= {k}) AS tp{k}, coalesce(sum(1.0::DOUBLE / log2(rank + 1)) FILTER (label = 1 AND rank <= {k}), 0) AS dcg{k}" for k in linkpred.CUTOFFS)
+_AT = "".join(f", CASE WHEN tp{k} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit{k}, CAST(tp{k} AS DOUBLE) / least({k}, num_candidates) AS p{k}, CAST(tp{k} AS DOUBLE) / num_true AS r{k}, dcg{k} / list_sum([1.0::DOUBLE / log2(i + 1) FOR i IN range(1, CAST(least({k}, num_true) AS BIGINT) + 1)]) AS ndcg{k}" for k in linkpred.CUTOFFS)
 RANKED = f"""{NEG}, cand AS (SELECT src, dst, 1 AS label FROM tru WHERE src IN (SELECT src FROM neg) UNION ALL SELECT src, dst, 0 FROM neg),
 scored AS (SELECT c.src, c.dst, c.label, -sqrt(list_sum([(a.v[i] - (b.v[i] + p.params[i])) * (a.v[i] - (b.v[i] + p.params[i])) FOR i IN range(1, len(a.v) + 1)])) AS score FROM cand c JOIN ent a ON c.src = a.id JOIN ent b ON c.dst = b.id, par p),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM scored),
 tp AS (SELECT *, sum(label) OVER (PARTITION BY src ORDER BY rank) AS hits FROM ranked),
 per AS (SELECT src, sum(label) AS num_true, count(*) - sum(label) AS num_negatives, count(*) AS num_candidates, avg(rank) FILTER (label = 1) AS mean_rank, median(rank) FILTER (label = 1) AS median_rank,
-  min(rank) FILTER (label = 1) AS best_rank, max(rank) FILTER (label = 1) AS worst_rank, avg(1.0::DOUBLE / rank) FILTER (label = 1) AS mrr, avg(CAST(hits AS DOUBLE) / rank) FILTER (label = 1) AS map,
-  count(*) FILTER (label = 1 AND rank <= 10) AS tp10, coalesce(sum(1.0::DOUBLE / log2(rank + 1)) FILTER (label = 1 AND rank <= 10), 0) AS dcg10 FROM tp GROUP BY src),
-met AS (SELECT *, CASE WHEN tp10 > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit10, CAST(tp10 AS DOUBLE) / least(10, num_candidates) AS p10, CAST(tp10 AS DOUBLE) / num_true AS r10,
-  dcg10 / list_sum([1.0::DOUBLE / log2(i + 1) FOR i IN range(1, CAST(least(10, num_true) AS BIGINT) + 1)]) AS ndcg10 FROM per)"""
+  min(rank) FILTER (label = 1) AS best_rank, max(rank) FILTER (label = 1) AS worst_rank, avg(1.0::DOUBLE / rank) FILTER (label = 1) AS mrr, avg(CAST(hits AS DOUBLE) / rank) FILTER (label = 1) AS map{_SUMS} FROM tp GROUP BY src),
+met AS (SELECT *{_AT} FROM per)"""
+_ROUNDED = "".join(f", hit{k}, round(p{k}, 6) AS p{k}, round(r{k}, 6) AS r{k}, round(CASE WHEN p{k} + r{k} > 0 THEN 2 * p{k} * r{k} / (p{k} + r{k}) ELSE 0 END, 6) AS f{k}, round(ndcg{k}, 6) AS ndcg{k}" for k in linkpred.CUTOFFS)
+_MEANS = "".join(f", round(avg(hit{k}), 6) AS hit{k}, round(avg(r{k}), 6) AS r{k}, round(avg(p{k}), 6) AS p{k}, round(avg(ndcg{k}), 6) AS ndcg{k}" for k in linkpred.CUTOFFS)
 
 
 def _true(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     e, known = entities(spark, sf_dir), links(spark, sf_dir)
-    return e, known, linkpred.true_links(known.where("src % 25 = 0 AND src <> dst"), e)
+    return e, known, linkpred.true_links(known.where("src <> dst"), e)
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, known, true = _true(spark, sf_dir)
-    negatives = linkpred.filtered_negatives(true, known, e, per_true=3)
+    negatives = linkpred.filtered_negatives(true, known, e)
     params = relation(spark, sf_dir)
     with_params = e.join(F.broadcast(params))  # one row
     return linkpred.rank_candidates(true, negatives, with_params, F.col("params"))
@@ -123,7 +128,7 @@ def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("filtered_negatives", f"WITH {NEG} SELECT src, dst FROM neg")
 def filtered_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, known, true = _true(spark, sf_dir)
-    return linkpred.filtered_negatives(true, known, e, per_true=3)
+    return linkpred.filtered_negatives(true, known, e)
 
 
 @query("score_translation_l2", f"WITH {RANKED} SELECT src, dst, label, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked")
@@ -131,17 +136,19 @@ def score_translation_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lists(spark, sf_dir).select("src", "dst", "label", F.round("score", 6).alias("score"), "rank")
 
 
-@query("rank_metrics_per_source", f"WITH {RANKED} SELECT src, CAST(num_true AS BIGINT) AS num_true, CAST(num_negatives AS BIGINT) AS num_negatives, num_candidates, round(mean_rank, 6) AS mean_rank, round(median_rank, 6) AS median_rank, CAST(best_rank AS INTEGER) AS best_rank, CAST(worst_rank AS INTEGER) AS worst_rank, round(mrr, 6) AS mrr, round(map, 6) AS map, hit10, round(p10, 6) AS p10, round(r10, 6) AS r10, round(CASE WHEN p10 + r10 > 0 THEN 2 * p10 * r10 / (p10 + r10) ELSE 0 END, 6) AS f10, round(ndcg10, 6) AS ndcg10 FROM met")
+@query("rank_metrics_per_source", f"WITH {RANKED} SELECT src, CAST(num_true AS BIGINT) AS num_true, CAST(num_negatives AS BIGINT) AS num_negatives, num_candidates, round(mean_rank, 6) AS mean_rank, round(median_rank, 6) AS median_rank, CAST(best_rank AS INTEGER) AS best_rank, CAST(worst_rank AS INTEGER) AS worst_rank, round(mrr, 6) AS mrr, round(map, 6) AS map{_ROUNDED} FROM met")
 def rank_metrics_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = linkpred.source_metrics(_lists(spark, sf_dir), (10,))
+    m = linkpred.source_metrics(_lists(spark, sf_dir))
     r = lambda c, n: F.round(F.col(f"`{c}`"), 6).alias(n)
-    return m.select("src", "num_true", "num_negatives", "num_candidates", r("mean_rank", "mean_rank"), r("median_rank", "median_rank"), "best_rank", "worst_rank", r("mrr", "mrr"), r("map", "map"), r("hit@10", "hit10"), r("precision@10", "p10"), r("recall@10", "r10"), r("f1@10", "f10"), r("ndcg@10", "ndcg10"))
+    at = [r(f"{c}@{k}", f"{n}{k}") for k in linkpred.CUTOFFS for c, n in (("hit", "hit"), ("precision", "p"), ("recall", "r"), ("f1", "f"), ("ndcg", "ndcg"))]
+    return m.select("src", "num_true", "num_negatives", "num_candidates", r("mean_rank", "mean_rank"), r("median_rank", "median_rank"), "best_rank", "worst_rank", r("mrr", "mrr"), r("map", "map"), *at)
 
 
-@query("rank_metrics_summary", f"WITH {RANKED} SELECT count(*) AS num_evaluated_sources, round(avg(num_true), 6) AS avg_links_per_node, round(median(median_rank), 6) AS median_rank, round(avg(mean_rank), 6) AS mean_rank, round(avg(map), 6) AS map, round(avg(mrr), 6) AS mrr, round(avg(hit10), 6) AS hit10, round(avg(r10), 6) AS r10, round(avg(p10), 6) AS p10, round(avg(ndcg10), 6) AS ndcg10 FROM met")
+@query("rank_metrics_summary", f"WITH {RANKED} SELECT count(*) AS num_evaluated_sources, round(avg(num_true), 6) AS avg_links_per_node, round(median(median_rank), 6) AS median_rank, round(avg(mean_rank), 6) AS mean_rank, round(avg(map), 6) AS map, round(avg(mrr), 6) AS mrr{_MEANS} FROM met")
 def rank_metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = linkpred.summary(linkpred.source_metrics(_lists(spark, sf_dir), (10,)), (10,))
-    names = {"avg_links_per_node": "avg_links_per_node", "median_rank": "median_rank", "mean_rank": "mean_rank", "map": "map", "mrr": "mrr", "hit@10": "hit10", "recall@10": "r10", "precision@10": "p10", "ndcg@10": "ndcg10"}
+    s = linkpred.summary(linkpred.source_metrics(_lists(spark, sf_dir)))
+    names = {c: c for c in ("avg_links_per_node", "median_rank", "mean_rank", "map", "mrr")}
+    names |= {f"{c}@{k}": f"{n}{k}" for k in linkpred.CUTOFFS for c, n in (("hit", "hit"), ("recall", "r"), ("precision", "p"), ("ndcg", "ndcg"))}
     return s.select("num_evaluated_sources", *[F.round(F.col(f"`{a}`"), 6).alias(b) for a, b in names.items()])
 
 
@@ -153,11 +160,11 @@ def pr_best_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(*[F.round(c, 6).alias(c) for c in best.columns])
 
 
-@query("ranked_predictions", f"WITH {KGE}, s AS (SELECT a.id AS src, b.id AS dst, -sqrt(list_sum([(a.v[i] - (b.v[i] + p.params[i])) * (a.v[i] - (b.v[i] + p.params[i])) FOR i IN range(1, len(a.v) + 1)])) AS score FROM ent a JOIN ent b ON a.id <> b.id AND a.id % 50 = 0, par p) SELECT src, dst, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM s) WHERE rank <= 10")
+@query("ranked_predictions", f"WITH {KGE}, s AS (SELECT a.id AS src, b.id AS dst, -sqrt(list_sum([(a.v[i] - (b.v[i] + p.params[i])) * (a.v[i] - (b.v[i] + p.params[i])) FOR i IN range(1, len(a.v) + 1)])) AS score FROM ent a JOIN ent b ON a.id <> b.id AND a.id % 20 = 0, par p) SELECT src, dst, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM s) WHERE rank <= 10")
 def ranked_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = entities(spark, sf_dir)
     with_params = e.join(F.broadcast(relation(spark, sf_dir)))  # one row
-    found = linkpred.predict(e.where("id % 50 = 0").select(F.col("id").alias("src")), with_params, F.col("params"), 10)
+    found = linkpred.predict(e.where("id % 20 = 0").select(F.col("id").alias("src")), with_params, F.col("params"), 10)
     return found.select("src", "dst", F.round("score", 6).alias("score"), "rank")
 
 
@@ -174,13 +181,13 @@ def score_operators_comparators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("id", "operator", *[F.round(vec.compare(c, F.col("l"), F.col("w")), 6).alias(c) for c in ("dot", "cos", "l2", "squared_l2")])
 
 
-@query("score_linear_affine", f"""WITH {KGE}, m AS (SELECT list(v ORDER BY id) AS m FROM ent WHERE id < 64), pr AS (SELECT a.id, a.v AS l, b.v AS r, p.params AS p, m.m AS m FROM ent a JOIN ent b ON b.id = a.id + 1, par p, m WHERE a.id < 100),
+@query("score_linear_affine", f"""WITH {KGE}, m AS (SELECT list(v ORDER BY id) AS m FROM ent WHERE id < 64), pr AS (SELECT a.id, a.v AS l, b.v AS r, p.params AS p, m.m AS m FROM ent a JOIN ent b ON b.id = a.id + 1, par p, m),
 w AS (SELECT id, l, p, [list_sum([m[j][i] * r[i] FOR i IN range(1, 65)]) FOR j IN range(1, 65)] AS w FROM pr)
 SELECT id, round(list_sum([l[i] * w[i] FOR i IN range(1, 65)]), 6) AS linear, round(list_sum([l[i] * (w[i] + p[i]) FOR i IN range(1, 65)]), 6) AS affine FROM w""")
 def score_linear_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = entities(spark, sf_dir)
     m = e.where("id < 64").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("m")).select(F.col("m.v").alias("m"))
-    pr = e.where("id < 100").select("id", F.col("v").alias("l")).join(e.select((F.col("id") - 1).alias("id"), F.col("v").alias("r")), "id").join(F.broadcast(relation(spark, sf_dir))).join(F.broadcast(m))  # one row each
+    pr = e.select("id", F.col("v").alias("l")).join(e.select((F.col("id") - 1).alias("id"), F.col("v").alias("r")), "id").join(F.broadcast(relation(spark, sf_dir))).join(F.broadcast(m))  # one row each
     w = pr.select("id", "l", vec.apply_operator("linear", F.col("r"), F.col("m")).alias("a"), vec.apply_operator("affine", F.col("r"), F.col("m"), F.col("params")).alias("b"))
     return w.select("id", F.round(vec.dot(F.col("l"), F.col("a")), 6).alias("linear"), F.round(vec.dot(F.col("l"), F.col("b")), 6).alias("affine"))
 

@@ -57,7 +57,7 @@ def length_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.length_band(q, p.select(F.col("id").alias("hit_id"), F.col("seq").alias("hit"))).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("hit_id").alias("first_hit"))
 
 
-@query("strategy_cascade_hits", f"""WITH {PROTEINS}, p AS (SELECT a.id AS query_id, b.id AS hit_id, a.seq AS q, b.seq AS d FROM proteins a JOIN proteins b ON a.id % 100 = 0 AND b.id < 300),
+@query("strategy_cascade_hits", f"""WITH {PROTEINS}, p AS (SELECT a.id AS query_id, b.id AS hit_id, a.seq AS q, b.seq AS d FROM proteins a JOIN proteins b ON a.id % 20 = 0),
 s AS (SELECT query_id, hit_id, q, d, length(q) AS nq, length(d) AS nd,
   CASE WHEN contains(d, q) OR contains(q, d) THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS held,
   greatest(len([1 FOR j IN range(1, CAST(least(length(q), length(d)) AS BIGINT) + 1) IF substr(q, j, 1) = substr(d, j, 1)]), len([1 FOR j IN range(1, CAST(least(length(q), length(d)) AS BIGINT) + 1) IF substr(reverse(q), j, 1) = substr(reverse(d), j, 1)])) / CAST(least(length(q), length(d)) AS DOUBLE) * 100.0 AS ends,
@@ -68,7 +68,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY strategy, iden
 SELECT query_id, hit_id, CAST(strategy AS INTEGER) AS strategy, round(identity, 6) AS identity, CAST(place AS INTEGER) AS place FROM r WHERE place <= 10""")
 def strategy_cascade_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = proteins(spark, sf_dir)
-    hits = lookups.cascade(p.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("seq").alias("query")), p.where("id < 300").select(F.col("id").alias("hit_id"), F.col("seq").alias("hit")))
+    hits = lookups.cascade(p.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("seq").alias("query")), p.select(F.col("id").alias("hit_id"), F.col("seq").alias("hit")))
     return hits.withColumn("identity", F.round("identity", 6))
 
 
@@ -77,25 +77,29 @@ def similarity_level_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(seq.level(F.col("l_quantity") * 2).alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
-RELEVANCE = """r AS (SELECT a.p_partkey AS id, lower(a.p_name) AS q, lower(b.p_name) AS p, lower(b.p_type) AS g FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
-w AS (SELECT *, list_filter(string_split(q, ' '), lambda x: x <> '') AS qw, list_filter(string_split(p, ' '), lambda x: x <> '') AS pw, list_filter(string_split(g, ' '), lambda x: x <> '') AS gw FROM r),
-c AS (SELECT id, q, p, g, len([1 FOR x IN qw IF contains(p, x)]) + len([1 FOR x IN qw IF contains(g, x)]) AS hits,
+RELEVANCE = """w AS (SELECT *, list_filter(string_split(q, ' '), lambda x: x <> '') AS qw, list_filter(string_split(p, ' '), lambda x: x <> '') AS pw, list_filter(string_split(g, ' '), lambda x: x <> '') AS gw FROM r),
+c AS (SELECT *, len([1 FOR x IN qw IF contains(p, x)]) + len([1 FOR x IN qw IF contains(g, x)]) AS hits,
   len(flatten([[1 FOR y IN pw IF contains(y, x) OR contains(x, y)] FOR x IN qw])) + len(flatten([[1 FOR y IN gw IF contains(y, x) OR contains(x, y)] FOR x IN qw])) AS near FROM w)"""
 
 
-@query("relevance_score", f"WITH {RELEVANCE} SELECT id, CASE WHEN q = p OR q = g THEN 100.0::DOUBLE WHEN contains(p, q) OR contains(g, q) THEN 90.0::DOUBLE WHEN hits > 0 THEN least(80.0::DOUBLE, hits * 20.0::DOUBLE) WHEN near > 0 THEN least(60.0::DOUBLE, near * 15.0::DOUBLE) ELSE 30.0::DOUBLE END AS relevance FROM c")
+GRADE = "CASE WHEN q = p OR q = g THEN 100.0::DOUBLE WHEN contains(p, q) OR contains(g, q) THEN 90.0::DOUBLE WHEN hits > 0 THEN least(80.0::DOUBLE, hits * 20.0::DOUBLE) WHEN near > 0 THEN least(60.0::DOUBLE, near * 15.0::DOUBLE) ELSE 30.0::DOUBLE END"
+
+
+@query("relevance_score", f"WITH r AS (SELECT a.p_partkey AS id, lower(a.p_name) AS q, lower(b.p_name) AS p, lower(b.p_type) AS g FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1), {RELEVANCE} SELECT id, {GRADE} AS relevance FROM c")
 def relevance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     nxt = p.select((F.col("p_partkey") - 1).alias("id"), F.col("p_name").alias("protein"), F.col("p_type").alias("gene"))
     return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("q")).join(nxt, "id").select("id", seq.relevance(F.col("q"), F.col("protein"), F.col("gene")).alias("relevance"))
 
 
-@query("name_resolution")
+@query("name_resolution", f"""WITH r AS (SELECT a.p_partkey AS query_id, b.p_partkey AS entry_id, lower(a.p_name) AS q, lower(b.p_name) AS p, lower(b.p_type) AS g, b.p_size AS size FROM part a JOIN part b ON a.p_partkey % 20 = 0), {RELEVANCE},
+s AS (SELECT query_id, entry_id, size, {GRADE} AS relevance FROM c), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, entry_id) AS place, (size * 2.0::DOUBLE + size + 40) / 2 AS mean_confidence FROM s)
+SELECT query_id, entry_id, relevance, CAST(place AS INTEGER) AS place, mean_confidence, CASE WHEN mean_confidence >= 90 THEN 'very_high' WHEN mean_confidence >= 70 THEN 'high' WHEN mean_confidence >= 50 THEN 'medium' ELSE 'low' END AS confidence_level FROM t WHERE place <= 10 AND size % 3 > 0""")
 def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     names = p.select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("protein"), F.col("p_type").alias("gene"))
     models = p.where("p_size % 3 > 0").select(F.col("p_partkey").alias("entry_id"), F.array(F.col("p_size") * 2.0, F.col("p_size") + 40.0).alias("confidence"))
-    q = p.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
+    q = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
     return lookups.resolve_names(q, names, models).select("query_id", "entry_id", "relevance", "place", "mean_confidence", "confidence_level")
 
 
@@ -166,9 +170,10 @@ def align_local_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _aligned(spark, sf_dir, "local")
 
 
-@query("all_pairs_ordered", f"WITH {PROTEINS}, p AS (SELECT * FROM proteins WHERE id < 40) SELECT a.id AS id_1, b.id AS id_2, a.seq = b.seq AS same FROM p a JOIN p b ON a.id < b.id")
+@query("all_pairs_ordered", f"WITH {PROTEINS} SELECT a.id AS id_1, b.id AS id_2, a.seq = b.seq AS same FROM proteins a JOIN proteins b ON a.id % 20 = 0 AND a.id < b.id")
 def all_pairs_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simjoin.ordered_pairs(proteins(spark, sf_dir).where("id < 40"), "id").select(F.col("_l.id").alias("id_1"), F.col("_r.id").alias("id_2"), (F.col("_l.seq") == F.col("_r.seq")).alias("same"))
+    p = proteins(spark, sf_dir)
+    return simjoin.ordered_pairs(p, "id", p.where("id % 20 = 0")).select(F.col("_l.id").alias("id_1"), F.col("_r.id").alias("id_2"), (F.col("_l.seq") == F.col("_r.seq")).alias("same"))
 
 
 @query("resume_pairs", f"WITH {PROTEINS} SELECT id, seq FROM proteins WHERE id % 7 <> 0")
