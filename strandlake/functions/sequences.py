@@ -130,6 +130,11 @@ def level(percent: Column, levels: Sequence[tuple[float, str]] = SEQUENCE_LEVELS
     return out.otherwise(below)
 
 
+def joined_text(*parts: Column, sep: str = "_", null: str = "nan") -> Column:
+    """Values as text with a separator; a null becomes the text ``nan``."""
+    return F.concat_ws(sep, *[F.coalesce(p.cast("string"), F.lit(null)) for p in parts])
+
+
 def relevance(query: Column, protein: Column, gene: Column) -> Column:
     """Score 0-100 of how well a query's words fit a protein's and a gene's name."""
     q, p, g = F.lower(query), F.lower(protein), F.lower(gene)

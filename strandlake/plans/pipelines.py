@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,33 @@ from ..operators import linkpred, relational, simjoin
 from ..operators.align import align_pairs
 
 
+def interpolate(tree: dict) -> dict:
+    """Nested settings with each ``${a.b}`` replaced by the value at that path; a text that is nothing else takes the value's type."""
+
+    def at(path: str, open_: tuple):
+        if path in open_:
+            raise ValueError(f"settings refer to each other: {path}")
+        value = tree
+        for name in path.split("."):
+            if not isinstance(value, dict) or name not in value:
+                raise ValueError(f"no such setting: {path}")
+            value = value[name]
+        return fill(value, (*open_, path))
+
+    def fill(value, open_: tuple = ()):
+        if isinstance(value, dict):
+            return {k: fill(v, open_) for k, v in value.items()}
+        if isinstance(value, list):
+            return [fill(v, open_) for v in value]
+        if not isinstance(value, str):
+            return value
+        if whole := re.fullmatch(r"\$\{([\w.]+)\}", value):
+            return at(whole[1], open_)
+        return re.sub(r"\$\{([\w.]+)\}", lambda m: str(at(m[1], open_)), value)
+
+    return fill(tree)
+
+
 @dataclass(frozen=True)
 class Experiment:
     """Settings of an embedding experiment (fixed values: the published defaults)."""
@@ -31,10 +59,12 @@ class Experiment:
 
     @staticmethod
     def from_yaml(text: str) -> Experiment:
-        """Settings from a flat YAML mapping; unknown names are refused."""
+        """Settings from YAML with ``${path}`` references; those in sections count as if they stood at the top, unknown names are refused."""
         import yaml
 
-        given = yaml.safe_load(text) or {}
+        given = {}
+        for name, value in interpolate(yaml.safe_load(text) or {}).items():
+            given |= value if isinstance(value, dict) else {name: value}
         unknown = set(given) - set(Experiment.__dataclass_fields__)
         if unknown:
             raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")

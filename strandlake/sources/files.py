@@ -165,7 +165,7 @@ def read_cif(spark: SparkSession, path: str, items: Sequence[str]) -> DataFrame:
 def read_npy(spark: SparkSession, vectors: str, dim: int, ids: str | None = None) -> DataFrame:
     """A two-dimensional .npy file as rows (idx, embedding), and with ids the same rows' ids.
 
-    Only the header is read on the driver; rows are cut out of the file by tasks as ranges.
+    A file is read whole by one task (2 GB at most), larger sets are several files, each numbered from 0.
     """
     files = spark.read.format("binaryFile").load(vectors).select("path", "content")
 

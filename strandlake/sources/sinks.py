@@ -1,14 +1,21 @@
-"""Sinks: delimited text, JSON reports, routed classes and resumable appends."""
+"""Sinks: delimited text, JSON and text reports, arrays, routed classes and resumable appends."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.relational import without_known
 
+#: Rows of a text report at most.
+REPORT_ROWS = 10_000
+
 
 def write_csv(df: DataFrame, path: str, index: str | None = None, header: bool = True, sep: str = ",", mode: str = "errorifexists") -> None:
     """Delimited text; ``index`` names an ordinal column to put first, without a name."""
@@ -57,3 +64,49 @@ def split_bad(df: DataFrame, good: str, path: str, bad_path: str) -> None:
 def fixed_decimals(column: str, digits: int = 6):
     """A number as text with fixed decimals."""
     return F.format_string(f"%.{digits}f", F.col(column))
+
+
+def report(df: DataFrame, title: str = "") -> str:
+    """A small aggregate as text: a row as lines ``name: value``, several rows as lines of the first column and the others."""
+    rows = df.limit(REPORT_ROWS + 1).collect()
+    if len(rows) > REPORT_ROWS:
+        raise ValueError(f"a text report has {REPORT_ROWS} rows at most: write a table")
+    if len(rows) == 1:
+        lines = [f"{k}: {v}" for k, v in rows[0].asDict().items()]
+    else:
+        lines = [f"{r[0]}: {', '.join(map(str, r[1:]))}" for r in rows]
+    return "\n".join([*([title] if title else []), *lines]) + "\n"
+
+
+def write_arrays(df: DataFrame, columns: Sequence[str], uri: str, name: str = "part") -> DataFrame:
+    """Each partition as ``<name>-<number>.npz``, compressed, with an array for each column; arrays of numbers become matrices, so their lengths must agree.
+
+    Returns (file, rows) of what was written, after reading each file back. A task that runs again
+    writes the same file. ``uri`` is a folder that pyarrow's file systems open; a partition's columns
+    are held in memory.
+    """
+    schema = df.select(*columns).schema
+    wide = {f.name for f in schema if f.dataType.typeName() == "array"}
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        got = [p for p in parts if len(p)]
+        if not got:
+            return
+        rows = pd.concat(got)
+        arrays = {c: np.stack(rows[c].to_list()) if c in wide else rows[c].to_numpy() for c in columns}
+        arrays = {c: a.astype(str) if a.dtype == object else a for c, a in arrays.items()}
+        held = io.BytesIO()
+        np.savez_compressed(held, **arrays)
+        files, folder = fs.FileSystem.from_uri(uri)
+        files.create_dir(folder, recursive=True)
+        path = f"{folder.rstrip('/')}/{name}-{TaskContext.get().partitionId():05d}.npz"
+        with files.open_output_stream(path) as out:
+            out.write(held.getvalue())
+        with files.open_input_file(path) as back, np.load(io.BytesIO(back.read())) as stored:
+            if any(stored[c].shape != a.shape or stored[c].dtype != a.dtype for c, a in arrays.items()):
+                raise OSError(f"{path} isn't what was written")
+        yield pd.DataFrame({"file": [path], "rows": [len(rows)]})
+
+    return df.select(*columns).mapInPandas(write, "file string, rows long")

@@ -151,3 +151,34 @@ def test_cascade_counts_a_hit_under_its_first_strategy(spark):
     q = spark.createDataFrame([(1, "ACDEF")], "query_id int, query string")
     d = spark.createDataFrame([(1, "ACDEF"), (2, "XXACDEFXX"), (3, "ACDXX"), (4, "WWWWW")], "hit_id int, hit string")
     assert [(r["hit_id"], r["strategy"]) for r in lookups.cascade(q, d).orderBy("place").collect()] == [(1, 1), (2, 2), (3, 2)]
+
+
+def test_local_identity_counts_the_ends_outside():
+    got = lambda a, b, **s: align.align_batch([a], [b], "local", 2.0, -1.0, s.get("open_", -0.5), -0.1)[1][0]
+    assert got("ACCGT", "ACG") == pytest.approx(100 * 3 / 5)
+    assert got("TTTACGT", "ACGTCC", open_=-5.0) == pytest.approx(100 * 4 / 9)
+    assert got("AAAACCCT", "AAAAGGGT", open_=-5.0) == pytest.approx(100 * 5 / 8)  # equal letters outside count
+    assert got("AAA", "CCC") == 0
+
+
+def test_negatives_walk_over_every_entity_once(spark):
+    entities = spark.range(37).select("id")
+    known = spark.createDataFrame([(0, d) for d in range(1, 30)] + [(5, 6), (7, 5), (9, 9)], "src long, dst long")
+    true = linkpred.true_links(known.where("src <> dst"), entities)
+    for per_true in (1, 3, 150):
+        got = [tuple(r) for r in linkpred.filtered_negatives(true, known, entities, per_true).collect()]
+        linked = {(a, b) for a, b in known.collect()} | {(b, a) for a, b in known.collect()}
+        assert len(got) == len(set(got)) and not set(got) & linked and all(a != b for a, b in got)
+        for src, n in ((0, 29), (5, 1), (7, 1)):
+            free = sum(d != src and (src, d) not in linked for d in range(37))
+            assert sum(a == src for a, _ in got) == min(n * per_true, free)
+    assert linkpred.filtered_negatives(true.limit(0), known, entities).count() == 0
+
+
+@pytest.mark.parametrize("walk", [1, 7])
+def test_negatives_are_the_same_in_any_blocks(spark, walk, monkeypatch):
+    entities, known = spark.range(50).select("id"), spark.createDataFrame([(i % 7, i) for i in range(50)], "src long, dst long")
+    true = linkpred.true_links(known.where("src <> dst"), entities)
+    want = sorted(map(tuple, linkpred.filtered_negatives(true, known, entities, 2).collect()))
+    monkeypatch.setattr(linkpred, "WALK", walk)
+    assert sorted(map(tuple, linkpred.filtered_negatives(true, known, entities, 2).collect())) == want

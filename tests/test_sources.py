@@ -102,3 +102,40 @@ def test_plans(spark):
     assert Experiment.from_yaml("epochs: 3\ncutoffs: [1, 2]").cutoffs == (1, 2)
     with pytest.raises(ValueError):
         Experiment.from_yaml("other: 1")
+
+
+def test_arrays_are_written_by_partition(spark, tmp_path):
+    import numpy as np
+
+    from strandlake.sources import sinks
+
+    df = spark.range(10).selectExpr("id", "cast(id as string) AS name", "array(cast(id as float), 0.5f) AS v").repartition(3)
+    files = sinks.write_arrays(df, ["id", "name", "v"], f"file://{tmp_path}/out").collect()
+    assert sum(r["rows"] for r in files) == 10
+    for r in files:
+        with np.load(r["file"]) as got:
+            assert got["v"].dtype == np.float32 and got["v"].shape == (r["rows"], 2)
+            assert (got["v"][:, 0] == got["id"]).all() and got["name"].tolist() == [str(i) for i in got["id"]]
+    assert sinks.write_arrays(df.limit(0), ["id"], f"file://{tmp_path}/none").count() == 0
+
+
+def test_reports(spark):
+    from strandlake.sources import sinks
+
+    assert sinks.report(spark.sql("SELECT 3 AS n, null AS best"), "Summary") == "Summary\nn: 3\nbest: None\n"
+    assert sinks.report(spark.sql("SELECT * FROM VALUES ('a', 1, 2), ('b', 3, 4) AS t(k, x, y) ORDER BY k")) == "a: 1, 2\nb: 3, 4\n"
+    with pytest.raises(ValueError):
+        sinks.report(spark.range(sinks.REPORT_ROWS + 1))
+
+
+def test_settings_refer_to_each_other():
+    from strandlake.plans.pipelines import Experiment, interpolate
+
+    assert interpolate({"a": {"b": 3}, "c": "${a.b}", "d": "x-${c}", "e": ["${a}"]}) == {"a": {"b": 3}, "c": 3, "d": "x-3", "e": [{"b": 3}]}
+    for bad in ({"a": "${b}", "b": "${a}"}, {"a": "${x.y}"}):
+        with pytest.raises(ValueError):
+            interpolate(bad)
+    e = Experiment.from_yaml("scoring:\n  operator: diagonal\nnegatives: ${n.negatives}\nn:\n  negatives: 7\n")
+    assert (e.operator, e.negatives) == ("diagonal", 7)
+    with pytest.raises(ValueError):
+        Experiment.from_yaml("nothing: 1")
