@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -323,7 +323,8 @@ def gram_bucket(h: np.ndarray, n_buckets: int) -> np.ndarray:
 def sample_splitters(answers: DataFrame, n_buckets: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Leading grams that cut the sampled ones into about even parts, and those too frequent for one part; at most about ``n_buckets`` each.
 
-    The sample is sorted by ranges; every so many grams of a range are a cut.
+    Grams are counted, and the counts of those that aren't too frequent are summed up over ranges of
+    them, so that the cuts don't depend on the number of ranges.
     """
 
     def take(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -331,21 +332,21 @@ def sample_splitters(answers: DataFrame, n_buckets: int, gram: int) -> tuple[np.
             for data in batch.column("data").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array([data[i : i + gram] for i in range(0, len(data), gram)], pa.binary())], schema=schema)
 
-    grams = materialize(map_arrow(answers.where("bucket < 0").select("data"), take, T.StructType([T.StructField("gram", T.BinaryType())])), "sample")
-    total = grams.count()
-    each = max(1, total // n_buckets)
-
-    def cut(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        seen = 0
-        for batch in batches:
-            upto = seen + batch.num_rows
-            at = [i - seen for i in range(-(-max(seen, 1) // each) * each, upto, each)]
-            seen = upto
-            yield batch.take(pa.array(at, pa.int64()))
-
-    found = map_arrow(grams.repartitionByRange("gram").sortWithinPartitions("gram"), cut, grams.schema) if n_buckets > 1 else grams.limit(0)
-    cuts = sorted({bytes(r[0]) for r in found.collect()})
-    hot = sorted(bytes(r[0]) for r in grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(20.0, total / (2 * n_buckets))).collect())
+    sampled = map_arrow(answers.where("bucket < 0").select("data"), take, T.StructType([T.StructField("gram", T.BinaryType())]))
+    grams = materialize(sampled.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "sample")
+    total = grams.agg(F.sum("n")).first()[0] or 0
+    often = max(20.0, total / (2 * n_buckets))
+    hot = sorted(bytes(r[0]) for r in grams.where(F.col("n") >= often).select("gram").collect())
+    cuts = []
+    if n_buckets > 1 and total:
+        ranges = materialize(grams.where(F.col("n") < often).repartitionByRange("gram").withColumn("part", F.spark_partition_id()), "ranges")
+        sums = ranges.groupBy("part").agg(F.sum("n").alias("in_part"))
+        each = max(1, (sums.agg(F.sum("in_part")).first()[0] or 0) // n_buckets)
+        before = sums.select("part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("before"))  # a row for each range
+        upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("gram"))
+        placed = ranges.join(F.broadcast(before), "part").withColumn("upto", upto)
+        cuts = sorted(bytes(r[0]) for r in placed.where(F.floor(F.col("upto") / each) > F.floor((F.col("upto") - F.col("n")) / each)).select("gram").collect())
+        discard(ranges)
     discard(grams)
     matrix = lambda x: np.frombuffer(b"".join(x), np.uint8).reshape(len(x), gram)
     return matrix(cuts), matrix(hot)

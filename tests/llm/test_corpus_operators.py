@@ -587,3 +587,22 @@ def test_pipeline_stages_keep_odd_rows_and_columns(spark, tmp_path):
         assert empty.count() == 0 and empty.columns == out.columns
     assert any(tmp_path.rglob("*.bits"))
     spark.conf.unset("spark.strandlake.output.dir")
+
+
+@pytest.mark.parametrize("partitions", [1, 5, 211])
+def test_splitters_do_not_depend_on_the_number_of_ranges(spark, partitions):
+    from strandlake.llm.suffixdedup import MESSAGE, sample_splitters
+
+    grams = [i.to_bytes(4, "big") for i in range(2000)] + [b"\x00\x00\x01\x00"] * 900
+    rows = [(-1 - i, i, b"".join(grams[i::20])) for i in range(20)]
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        cuts, hot = sample_splitters(spark.createDataFrame(rows, MESSAGE), 16, 4)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert [bytes(h) for h in hot] == [b"\x00\x00\x01\x00"]
+    edges = [0, *[int.from_bytes(bytes(c), "big") for c in cuts], 2000]
+    assert 15 <= len(cuts) <= 17 and max(y - x for x, y in zip(edges, edges[1:], strict=False)) <= 130
