@@ -108,6 +108,7 @@ def test_nearest(spark, metric):
 def test_tanimoto_forms_agree(spark):
     random.seed(2)
     rows = [(i, sorted({random.randrange(25) for _ in range(random.randrange(0, 12))})) for i in range(80)]
+    rows += [(100 + i, rows[i % 5][1][::-1]) for i in range(12)] + [(200, None)]
     df = spark.createDataFrame(rows, "id long, s array<int>")
     want = sorted((a, b) for a, x in rows for b, y in rows if a < b and x and y and len({*x} & {*y}) / len({*x} | {*y}) >= 0.6)
     assert sorted((r["id_1"], r["id_2"]) for r in simjoin.tanimoto_join(df, "id", "s", 0.6).collect()) == want
