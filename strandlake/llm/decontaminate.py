@@ -10,9 +10,10 @@ drops windows that would begin before the text or (length bound) end behind it;
 verified by comparing all words of the item-sized window. The work is a scan of the documents
 without a shuffle, so hot sources, copies and frequent passages change no task's share.
 
-The benchmark side is cut into blocks of at most ``block_windows`` windows; only one block's
-index is ever broadcast at a time, and the documents pass through one Arrow function per block,
-so a benchmark of any size is joined whole.
+The benchmark side is cut into blocks of ``block_windows`` pairs of a window and an item, at most
+one item's windows more; only one block's index is ever broadcast at a time, and the documents pass
+through one Arrow function per block, so a benchmark of any size is joined whole. Frequencies are
+counted before, in one scan for each ``block_words`` different words of the whole benchmark.
 
 Defined cases: null or empty texts have no words and are never hit; very long texts are judged
 whole; repeated rows are judged each on their own; an empty table gives an empty result; an empty benchmark leaves all documents clean; items that share an
@@ -32,12 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..store import discard, materialize
 from .arrow import map_arrow, plus
 from .kernel import ALNUM_TRANSLATE, slices, text_list, with_columns
 
 WINDOW = 10
-#: Windows of a broadcast index: about 60 MB as Python objects.
+#: Windows with an item each of a broadcast index: about 60 MB as Python objects.
 BLOCK_WINDOWS = 200_000
+#: Words counted in one scan: about 80 MB as Python objects.
+BLOCK_WORDS = 1_000_000
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
@@ -53,22 +57,43 @@ def item_windows(words: list[bytes], window: int) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + window]) for i in range(len(words) - window + 1)}
 
 
-def blocks_of_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int, limit: int) -> Iterator[dict[tuple[bytes, ...], list[str]]]:
-    """Windows with the items that hold them, in blocks of about ``limit``; a partition of the benchmark at a time."""
-    block: dict[tuple[bytes, ...], list[str]] = {}
+def item_words(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[str, list[bytes]]]:
+    """Ids and words of the items; a partition of the benchmark at a time."""
     rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.encode(F.col(text_col), "UTF-8"))
     for item, text in rows.toLocalIterator():
-        for w in item_windows(words_of(bytes(text or b"")), window):
-            block.setdefault(w, []).append(item)
-            if len(block) >= limit:
-                yield block
-                block = {}
+        yield item, words_of(bytes(text or b""))
+
+
+def blocks_of_windows(items: Iterator[tuple[str, list[bytes]]], window: int, limit: int) -> Iterator[dict[tuple[bytes, ...], set[str]]]:
+    """Windows with the items that hold them, in blocks of about ``limit`` such pairs; a window of many items is in several blocks."""
+    block: dict[tuple[bytes, ...], set[str]] = {}
+    pairs = 0
+    for item, words in items:
+        found = item_windows(words, window)
+        for w in found:
+            block.setdefault(w, set()).add(item)
+        pairs += len(found)
+        if pairs >= limit:
+            yield block
+            block, pairs = {}, 0
     if block:
         yield block
 
 
-def document_frequencies(docs: DataFrame, text_col: str, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
-    """In how many documents each word of the vocabulary occurs; summed before and after the shuffle."""
+def blocks_of_words(items: Iterator[tuple[str, list[bytes]]], limit: int) -> Iterator[frozenset[bytes]]:
+    """Words of the items, in blocks of about ``limit``; a word may be in several blocks."""
+    block: set[bytes] = set()
+    for _, words in items:
+        block.update(words)
+        if len(block) >= limit:
+            yield frozenset(block)
+            block = set()
+    if block:
+        yield frozenset(block)
+
+
+def document_frequencies(docs: DataFrame, text_col: str, vocabulary: frozenset[bytes]) -> DataFrame:
+    """In how many documents each word of the vocabulary occurs, (``word``, ``n``), stored; summed before and after the shuffle."""
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -81,15 +106,26 @@ def document_frequencies(docs: DataFrame, text_col: str, vocabulary: frozenset[b
 
     schema = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])
     counted = map_arrow(docs.select(F.col(text_col).alias("text")), count, schema)
-    return {bytes(w): n for w, n in counted.groupBy("word").agg(F.sum("n")).collect()}  # at most the block's vocabulary
+    stored = materialize(counted.groupBy("word").agg(F.sum("n").alias("n")), "frequencies")
+    known.unpersist()
+    return stored
+
+
+def frequencies_of(vocabulary: frozenset[bytes], tables: list[DataFrame]) -> dict[bytes, int]:
+    """Frequencies of the words of one block of windows, looked up in the stored tables."""
+    found: dict[bytes, int] = {}
+    for table in tables:
+        asked = table.sparkSession.createDataFrame(pa.table({"word": pa.array(sorted(vocabulary), pa.binary())}))
+        found.update((bytes(w), n) for w, n in table.join(asked, "word", "left_semi").collect())  # at most the block's vocabulary
+    return found
 
 
-def prefix_index(block: dict[tuple[bytes, ...], list[str]], frequency: dict[bytes, int]) -> dict:
+def prefix_index(block: dict[tuple[bytes, ...], set[str]], frequency: dict[bytes, int]) -> dict:
     """Rarest word -> (its place in the window, window length) -> window -> items."""
     index: dict = defaultdict(lambda: defaultdict(dict))
     for w, items in block.items():
         at = min(range(len(w)), key=lambda i: (frequency.get(w[i], 0), w[i], i))
-        index[w[at]][at, len(w)][b" ".join(w)] = sorted(set(items))
+        index[w[at]][at, len(w)][b" ".join(w)] = sorted(items)
     return {word: {k: dict(v) for k, v in places.items()} for word, places in index.items()}
 
 
@@ -128,16 +164,18 @@ def decontaminate(
     item_text_col: str = "text",
     window: int = WINDOW,
     block_windows: int = BLOCK_WINDOWS,
+    block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``spans`` (merged [start, end) word ranges that are hit), ``items`` (ids as sorted strings) and ``contaminated``."""
     kept = plus(docs.schema, T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType())))
     span_type, text_at = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), text_col
     sc, out = docs.sparkSession.sparkContext, docs
-    blocks = blocks_of_windows(benchmark, item_col, item_text_col, window, block_windows)
+    read = lambda: item_words(benchmark, item_col, item_text_col)
+    counted = [document_frequencies(docs, text_col, words) for words in blocks_of_words(read(), block_words)]
+    blocks = blocks_of_windows(read(), window, block_windows)
     for n, block in enumerate(itertools.chain([next(blocks, {})], blocks)):
         vocabulary = frozenset(word for w in block for word in w)
-        frequency = document_frequencies(docs, text_col, vocabulary) if vocabulary else {}
-        shared, again = sc.broadcast(prefix_index(block, frequency)), n > 0
+        shared, again = sc.broadcast(prefix_index(block, frequencies_of(vocabulary, counted))), n > 0
 
         def judge(batches: Iterator[pa.RecordBatch], schema: pa.Schema, shared=shared, again=again) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -157,4 +195,6 @@ def decontaminate(
                     yield with_columns(part, {"n_words": pa.array(np.array(counts, np.int64)), "spans": pa.array(spans, span_type), "items": pa.array(items, pa.list_(pa.string()))}, schema)
 
         out = map_arrow(out, judge, kept)
+    for table in counted:
+        discard(table)
     return out.withColumn("contaminated", F.size("spans") > 0)

@@ -9,7 +9,8 @@ Of the host rules that fit, the longest wins; without one the longest fitting pa
 without that the URL is allowed.
 
 Rules are taken in blocks of at most ``BLOCK_RULES``, so one bounded index is broadcast at a time;
-each block's pass keeps the longest rule so far. No shuffle of URLs takes place, whatever tokens
+each block's pass keeps the longest rule so far. Literals of all rules, which the caller holds as a list,
+are counted in one scan for each ``BLOCK_LITERALS`` of them. No shuffle of URLs takes place, whatever tokens
 are frequent.
 
 Defined cases: a null URL or one without ``://`` has empty host and path and fits no host rule;
@@ -34,6 +35,8 @@ from .arrow import map_arrow, plus
 from .kernel import ALNUM, ALNUM_TRANSLATE, slices, with_columns
 
 BLOCK_RULES = 50_000
+#: Literals counted in one scan: about 80 MB as Python objects.
+BLOCK_LITERALS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -94,7 +97,9 @@ def token_counts(urls: DataFrame, url_col: str, vocabulary: frozenset[bytes]) ->
 
     schema = T.StructType([T.StructField("token", T.BinaryType()), T.StructField("n", T.LongType())])
     counted = map_arrow(urls.select(F.col(url_col).alias("url")), count, schema)
-    return {bytes(t): n for t, n in counted.groupBy("token").agg(F.sum("n")).collect()}  # at most a block's literals
+    counts = {bytes(t): n for t, n in counted.groupBy("token").agg(F.sum("n")).collect()}  # at most a block's literals
+    known.unpersist()
+    return counts
 
 
 def rule_index(rules: list[UrlRule], counts: dict[bytes, int]) -> tuple[dict[bytes, list[int]], list[int]]:
@@ -116,10 +121,12 @@ def filter_urls(pages: DataFrame, rules: list[UrlRule], url_col: str = "url", bl
     out = pages
     fields = [T.StructField(c, text) for c in ("host", "path", "rule", "pattern", "rule_action", "pattern_action")]
     sc = pages.sparkSession.sparkContext
+    literals = sorted({t for r in rules for t in r.literals()})
+    counts: dict[bytes, int] = {}
+    for at in range(0, len(literals), BLOCK_LITERALS):
+        counts |= token_counts(pages, url_col, frozenset(literals[at : at + BLOCK_LITERALS]))
     for at in range(0, max(1, len(rules)), block_rules):
         block = rules[at : at + block_rules]
-        vocabulary = frozenset(t for r in block for t in r.literals())
-        counts = token_counts(pages, url_col, vocabulary) if vocabulary else {}
         shared, again = sc.broadcast((block, *rule_index(block, counts))), at > 0
 
         def judge(batches: Iterator[pa.RecordBatch], schema: pa.Schema, shared=shared, again=again) -> Iterator[pa.RecordBatch]:

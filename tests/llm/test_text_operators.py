@@ -62,7 +62,7 @@ def test_decontamination(spark, block):
     docs = [(i, text(60)) for i in range(40)] + [(3, "x q-R, s ONLY"), (None, "q r"), (7, None), (8, ""), (9, " .,"), (10, "z " * 30000 + "only")]
     docs += docs[:3]
     df = spark.createDataFrame([(*d, "clash", "clash") for d in docs], DOCS)
-    got = dec.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), block_windows=block)
+    got = dec.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), block_windows=block, block_words=block)
     rows = [(r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), r["items"]) for r in got.collect()]
     assert sorted(rows, key=str) == brute_hits(docs, items)
     assert all(r["contaminated"] == bool(r["spans"]) for r in got.collect())
