@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from ..session import table
 from ..store import materialize
 from .bagminhash import near_duplicates
+from .centroids import cluster_vectors
 from .chaindedup import passage_classes
 from .decontaminate import decontaminate
 from .langid import fit_languages, identify_languages
 from .mixing import apply_cuts, source_cuts, with_keys
+from .packing import pack_documents
 from .quality import fit_rules, judge_quality
 from .suffixdedup import remove_repeats
 from .tokenbin import token_output
@@ -100,6 +102,20 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length")
+
+
+def op12_cluster_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, centroids = cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    digest = F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256")
+    return assigned.join(F.broadcast(centroids.select("cluster", "cluster_inertia", "inertia", digest)), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -112,11 +128,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_token_output": op10_token_output,
+        "op11_pack_sequences": op11_pack_sequences,
+        "op12_cluster_vectors": op12_cluster_vectors,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op2_mix_sources": OP2_SQL, "op3_url_filter": OP3_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_mix_sources": OP2_SQL, "op3_url_filter": OP3_SQL, "op12_cluster_vectors": _lloyd_sql(8, 10)}
 
 
 OP1_SQL = r"""
@@ -193,3 +211,33 @@ SELECT page_id, host, path, rule, CASE
   WHEN regexp_matches(url, '(^|[\x00-\x2F\x3A-\x60\x7B-\x7F])(cheap-pills|spam-farm|casino|porn)($|[\x00-\x2F\x3A-\x60\x7B-\x7F])') THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """
+
+
+def _lloyd_sql(k: int, rounds: int) -> str:
+    """Lloyd's rounds in SQL, a pair of steps for each round, over all rows."""
+    steps = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, q) - 1 AS cluster, q AS c
+  FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, q FROM v ORDER BY h NULLS LAST, q LIMIT {k}))"""
+    for r in range(rounds + 1):
+        steps += f""",
+a{r} AS MATERIALIZED (
+  SELECT vec_id, q, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance
+  FROM (SELECT v.rowid_ AS rowid_, vec_id, q, cluster, list_sum([(q[i] - c[i]) * (q[i] - c[i]) FOR i IN range(1, 65)]) AS d FROM (SELECT *, row_number() OVER () AS rowid_ FROM v) v CROSS JOIN c{r})
+  GROUP BY rowid_, vec_id, q)"""
+        if r < rounds:
+            steps += f""",
+s{r} AS (
+  SELECT cluster, list(m ORDER BY i) AS c
+  FROM (SELECT cluster, i, CAST(CASE WHEN s >= 0 THEN s // n ELSE -((-s + n - 1) // n) END AS BIGINT) AS m
+    FROM (SELECT cluster, i, sum(q[i]) AS s, CAST(count(*) AS HUGEINT) AS n FROM a{r} CROSS JOIN (SELECT unnest(range(1, 65)) AS i) GROUP BY cluster, i))
+  GROUP BY cluster),
+c{r + 1} AS MATERIALIZED (SELECT o.cluster, coalesce(s{r}.c, o.c) AS c FROM c{r} o LEFT JOIN s{r} USING (cluster))"""
+    return f"""{steps}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cluster)
+"""
