@@ -36,3 +36,13 @@ def append_batches(rows: DataFrame, path: str, keys: list[str], checkpoint: str,
         out.write.mode("append").parquet(path)
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def overwrite_batches(rows: DataFrame, path: str, partitions: list[str], checkpoint: str, work: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
+    """Process what is new, once. Each batch fills partitions of its own, by ``partitions`` and its number; a batch that runs again after a failure replaces them."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        out = work(batch).withColumn("batch", F.lit(number).cast("long"))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions, "batch").parquet(path)
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,0 +1,132 @@
+"""The runnable jobs: SQL over whole tables, growing input, reruns, odd rows."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import subprocess
+import sys
+from collections import Counter
+from pathlib import Path
+
+import pytest
+from conftest import SF, rows_of
+from pyspark.sql import functions as F
+
+from jobs import build_graph, ingest_mentions, queries
+from jobs.settings import read_settings
+from strandlake.streaming.streams import overwrite_batches
+
+ROOT = Path(__file__).parent.parent
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_query_equals_sql(spark, duck, name):
+    got = queries.queries()[name](spark, SF).toPandas()
+    want = duck.sql(queries.oracle_sql()[name]).df()
+    assert len(want) > 0 and sorted(got.columns) == sorted(want.columns)
+    assert rows_of(got) == rows_of(want)
+
+
+def plain_mentions(texts, least=8):
+    out = []
+    for d, t in {(d, t) for d, t in texts if t}:
+        words = Counter(w.upper() for w in re.split("[^A-Za-z0-9\x80-\U0010ffff]+", t) if re.fullmatch(f"[A-Za-z]{{{least},}}", w))
+        for w, n in words.items():
+            if set(w) <= set("ACGTUNRYSWKMBDHVX"):
+                plain = set(w) <= set("ACGTU")
+                kind = ("NUCLEIC_MIXED" if {"T", "U"} <= set(w) else "DNA" if "T" in w else "RNA" if "U" in w else "NUCLEIC_AMBIG") if plain else None
+            else:
+                kind = "AA" if set(w) <= set("ACDEFGHIKLMNPQRSTVWY") else None
+            if kind:
+                out.append((d, hashlib.md5(t.encode()).hexdigest(), w, len(w), n, kind))
+    return sorted(out, key=str)
+
+
+def test_mentions_of_growing_input_equal_one_run(spark, tmp_path):
+    """Two runs over a growing folder take each file once; a third and a file that came before add nothing."""
+    texts = [(1, "see ACGTACGTAC, acgtacgtac and GGCCUUAAGG."), (None, "MKTAYIAKQR é MKTAYIAKQRé"), (2, ""), (3, None), (4, "ACGTNNNNNN x" * 3), (1, "see ACGTACGTAC, acgtacgtac and GGCCUUAAGG."), (5, "ACDEFGHIKL " * 5000)]
+    more = [(1, "another TTTTCCCCUU text"), (6, "GGGGGGGGG"), (5, "ACDEFGHIKL " * 5000)]
+    schema = "doc_id long, text string, kind string, batch string"
+    source, out, mark = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    frame = lambda rows: spark.createDataFrame([(d, t, "x", "y") for d, t in rows], schema)
+    frame(texts).repartition(3).write.parquet(source)
+    one = ingest_mentions.Settings(files_per_batch=1)
+    first = ingest_mentions.run(spark, source, out, mark, one)
+    assert first["read"] == sum(1 for _ in texts) and first["batches"] > 1
+    found = lambda: sorted((tuple(r) for r in ingest_mentions.read_mentions(spark, out).select("doc_id", "text_md5", "content", "length", "n_mentions", "kind").collect()), key=str)
+    assert found() == plain_mentions(texts)
+    frame(more).write.mode("append").parquet(source)
+    second = ingest_mentions.run(spark, source, out, mark, one)
+    assert second["read"] == len(more) and second["written"] == 2
+    assert found() == plain_mentions(texts + more)
+    again = ingest_mentions.run(spark, source, out, mark, one)
+    assert again == {"read": 0, "written": 0, "batches": 0} and found() == plain_mentions(texts + more)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_mentions_of_nothing(spark, tmp_path):
+    spark.createDataFrame([(1, None)], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
+    numbers = ingest_mentions.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark"))
+    assert numbers["written"] == 0 and ingest_mentions.read_mentions(spark, str(tmp_path / "out")).count() == 0
+
+
+def test_a_batch_that_fails_midway_is_replaced(spark, tmp_path):
+    """A batch whose output was written in part before it failed has its rows once after the next run."""
+    source, out, mark = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    spark.range(100).write.parquet(source)
+    spark.range(7).withColumns({"kind": F.lit("a"), "batch": F.lit(0)}).write.partitionBy("kind", "batch").parquet(out)  # left by a batch 0 that failed
+    rows = lambda: spark.readStream.schema("id long").parquet(source)
+    work = lambda df: df.withColumn("kind", F.lit("a"))
+
+    def broken(df):
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        overwrite_batches(rows(), out, ["kind"], mark, broken).awaitTermination()
+    overwrite_batches(rows(), out, ["kind"], mark, work).awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(100))
+
+
+def small_tables(spark, folder, orders, lines):
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.mode("overwrite").parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.mode("overwrite").parquet(f"{folder}/lineitem.parquet")
+
+
+def test_graph_of_odd_rows_and_reruns(spark, tmp_path):
+    tables, out = str(tmp_path / "tables"), str(tmp_path / "out")
+    small_tables(spark, tables, [(1, 10), (2, None), (3, 11)], [(1, 5, 7), (1, 5, 7), (2, 6, 8), (3, None, 9), (None, 5, None)])
+    want = {("c10", "interacts_with", "p5"), ("p5", "has_similarity", "s7"), ("p6", "has_similarity", "s8")}
+    for _ in range(2):
+        assert build_graph.run(spark, tables, out) == {"orders": 3, "lineitem": 5, "triples": 3}
+        got = build_graph.read_triples(spark, out).collect()
+        assert sorted((r["src"], r["rel"], r["dst"]) for r in got) == sorted(want)
+        ids = {n: i for i, n in enumerate(sorted({x for s, _, d in want for x in (s, d)}))}
+        assert all(ids[r["src"]] == r["src_idx"] and ids[r["dst"]] == r["dst_idx"] for r in got)
+        assert {r["sample"] for r in got} == {"train"}  # each entity must be in train
+        assert spark.read.json(f"{out}/report").count() == 1
+    small_tables(spark, tables, [], [])
+    assert build_graph.run(spark, tables, out) == {"orders": 0, "lineitem": 0, "triples": 0}
+    assert build_graph.read_triples(spark, out).count() == 0 and spark.read.parquet(f"{out}/entities").count() == 0
+
+
+def test_settings_files(tmp_path):
+    assert read_settings(build_graph.Settings, str(ROOT / "jobs/build_graph.yaml")) == build_graph.Settings()
+    assert read_settings(ingest_mentions.Settings, str(ROOT / "jobs/ingest_mentions.yaml")) == ingest_mentions.Settings()
+    assert read_settings(build_graph.Settings, None) == build_graph.Settings()
+    (tmp_path / "x.yaml").write_text("seed: 1\nshare: 2\n")
+    with pytest.raises(ValueError, match="share"):
+        read_settings(build_graph.Settings, str(tmp_path / "x.yaml"))
+
+
+def test_command_lines(tmp_path):
+    run = lambda *a: subprocess.run([sys.executable, "-m", *a], cwd=ROOT, check=True, capture_output=True, text=True, timeout=300).stderr
+    log = run("jobs.ingest_mentions", "--config", "jobs/ingest_mentions.yaml", "--input", f"{SF}/document[s].parquet", "--output", f"{tmp_path}/out", "--checkpoint", f"{tmp_path}/mark")
+    assert "200 new rows" in log and "wrote" in log
+    log = run("jobs.build_graph", "--config", "jobs/build_graph.yaml", "--input", SF, "--output", f"{tmp_path}/graph")
+    assert "build_graph read" in log and (tmp_path / "graph/triples/rel=interacts_with/sample=train").is_dir()
+
+
+def test_jobs_need_nothing_of_the_corpus_operators():
+    for path in (ROOT / "jobs").glob("*.py"):
+        assert "llm" not in path.read_text() and "corpus_pipeline" not in path.read_text()

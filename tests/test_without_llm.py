@@ -11,8 +11,8 @@ import pytest
 
 ROOT = Path(__file__).parent.parent
 CODE = """
-import __spark_entry__ as e, strandlake.plans as p
-assert set(e.queries()) == set(p.QUERIES) and set(e.oracle_sql()) == set(p.SQL)
+import __spark_entry__ as e, strandlake.plans as p, jobs.queries as j
+assert set(e.queries()) == set(p.QUERIES) | set(j.queries()) and set(e.oracle_sql()) == set(p.SQL) | set(j.oracle_sql())
 import importlib, pkgutil, strandlake
 for m in pkgutil.walk_packages(strandlake.__path__, "strandlake."):
     importlib.import_module(m.name)
