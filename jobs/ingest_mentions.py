@@ -38,10 +38,11 @@ STREAM_CONF = {
 
 @dataclass(frozen=True)
 class Settings:
-    """Letters of a sequence at least, files of a batch at most, and the columns read."""
+    """Letters of a sequence at least, files of a batch at most, and the columns read with their types."""
 
     min_length: int = 8
     files_per_batch: int = 64
+    schema: str = "doc_id long, text string"
     id_column: str = "doc_id"
     text_column: str = "text"
 
@@ -57,8 +58,7 @@ def mentions(texts: DataFrame, min_length: int = 8) -> DataFrame:
 
 def run(spark: SparkSession, input_path: str, output_path: str, checkpoint_path: str, settings: Settings = Settings()) -> dict[str, int]:
     """Takes what is new until there is no more; returns the numbers of rows read and written by this run."""
-    schema = spark.read.parquet(input_path).schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", settings.files_per_batch).parquet(input_path)
+    rows = spark.readStream.schema(settings.schema).option("maxFilesPerTrigger", settings.files_per_batch).parquet(input_path)
     texts = rows.select(F.col(settings.id_column).alias("doc_id"), F.col(settings.text_column).alias("text")).where("text <> ''")
     fresh = texts.withColumn("digest", F.sha2("text", 256)).dropDuplicates(["doc_id", "digest"]).drop("digest")
     written = []
