@@ -35,8 +35,8 @@ def classify_sequence(c: Column, allow_uo: bool = False, canonical_smiles: Colum
     """Struct (kind, length, invalid_chars, canonical) of a sequence.
 
     Nucleotide alphabets are tried first, then amino acids, then SMILES. ``canonical_smiles`` is
-    what a chemistry hook made of the text (null where it isn't a molecule); without it nothing is
-    taken for SMILES.
+    the text of a molecule, as ``operators.molecules.smiles_molecule`` gives it, null where there is
+    none; without it nothing is taken for SMILES.
     """
     raw = strip(c)
     up = F.upper(raw)
@@ -180,7 +180,7 @@ SMILES_ATOMS = r"\[[^\]]*\]|Br|Cl|[BCNOSPFIbcnops]"
 def smiles_elements(c: Column) -> Column:
     """Element symbols of the atoms in a SMILES string, aromatic ones capitalised.
 
-    A reading of the text only; a chemistry hook decides whether it is a molecule.
+    A reading of the text only; ``operators.molecules.has_elements`` asks the atoms of a molecule.
     """
     bare = lambda a: F.when(a.startswith("["), F.regexp_extract(a, r"^\[\d*([A-Z][a-z]?|[a-z]{1,2})", 1)).otherwise(a)
     return F.transform(F.regexp_extract_all(c, F.lit(f"({SMILES_ATOMS})"), F.lit(1)), lambda a: F.initcap(bare(a)))
@@ -192,7 +192,7 @@ def has_element(c: Column, elements: Sequence[str]) -> Column:
 
 
 def hashed_fingerprint(c: Column, k: int = 3, bits: int = 2048) -> Column:
-    """Set bits of a text's k-character pieces by hash, sorted: a stand-in where no chemistry hook makes fingerprints."""
+    """Set bits of a text's k-character pieces by hash, sorted; ``operators.molecules`` has fingerprints of molecules."""
     n = F.length(c)
     pieces = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(k)))
     return F.when(n > 0, F.array_sort(F.array_distinct(F.transform(pieces, lambda x: (F.conv(F.substring(F.md5(x), 1, 6), 16, 10).cast("long") % bits).cast("int")))))

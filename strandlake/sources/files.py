@@ -84,21 +84,30 @@ def read_epochs(spark: SparkSession, pattern: str) -> DataFrame:
     return read_log(spark, pattern).withColumn("epoch", F.regexp_extract("file", r"epoch_(\d+)", 1).try_cast("int"))
 
 
-def read_sdf(spark: SparkSession, path: str, properties: Sequence[str]) -> DataFrame:
+def read_sdf(spark: SparkSession, path: str, properties: Sequence[str], smiles: str | None = None) -> DataFrame:
     """Records of an SDF file: ``molblock`` and the properties asked for, null where missing.
 
-    Records are split by their delimiter at the scan, so large files are read in parallel. SMILES
-    from the mol block are left to a chemistry hook.
+    Records are split at the lines that begin with the delimiter, whatever ends these lines, so
+    large files are read in parallel. With ``smiles`` the molecules' canonical texts are a column
+    of that name, and records without a readable molecule are left out.
     """
-    record = F.regexp_replace("value", r"\A\r?\n", "")
-    rows = spark.read.option("lineSep", "$$$$\n").text(path).where(F.trim("value") != "")
+    rows = spark.read.option("lineSep", "\n$$$$").text(path)
+    record = F.regexp_replace("value", r"\A\r?\n", "")  # what ended the delimiter's line
 
     def value(name: str):
         pattern = r"(?m)^>[^\n]*<" + re.escape(name) + r">[^\n]*\r?\n([^\n\r]*)"
         found = F.regexp_extract(record, pattern, 1)
         return F.when(record.rlike(pattern), found).alias(name)
 
-    return rows.select(F.regexp_extract(record, r"(?s)\A(.*?M  END)", 1).alias("molblock"), *[value(p) for p in properties])
+    # the counts are in a block's fourth line, so an empty title of the first record can be told from the end of a delimiter's line
+    exact = F.regexp_extract("value", r"(?s)\A(?:\r?\n)?((?:[^\n]*\n){3}[^\n]*V[23]000.*?M  END)", 1)
+    block = F.when(exact != "", exact).otherwise(F.regexp_extract(record, r"(?s)\A(.*?M  END)", 1))
+    found = rows.where(F.trim(F.translate("value", "\r\n", "")) != "").select(block.alias("molblock"), *[value(p) for p in properties])
+    if smiles is None:
+        return found
+    from ..operators.molecules import block_molecule
+
+    return found.withColumn(smiles, block_molecule(F.col("molblock"))["canonical"]).where(F.col(smiles).isNotNull())
 
 
 def cif_tokens(text: str) -> Iterator[tuple[bool, str]]:
