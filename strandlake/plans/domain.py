@@ -111,3 +111,16 @@ NODES = """nodes AS (
   SELECT 'c' || CAST(c_custkey AS VARCHAR) AS id, 'small_molecule' AS labels FROM customer
   UNION ALL SELECT 'p' || CAST(p_partkey AS VARCHAR), 'protein' FROM part
   UNION ALL SELECT 's' || CAST(s_suppkey AS VARCHAR), 'aptamer' FROM supplier)"""
+
+
+def kin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, seq): sequences of 100 to 1,000 letters in families of four parts: the first, two with a share of letters exchanged, a piece of the first."""
+    k = F.col("p_partkey")
+    family = F.floor(k / 4)
+    n = F.lit(100) + (family * 37 % 901).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 32).cast("int")), lambda b: F.translate(F.md5(F.concat_ws(":", family.cast("string"), b.cast("string"))), HEX, AA))
+    whole = F.substr(F.array_join(blocks, ""), F.lit(1), n)
+    share = F.when(k % 4 == 1, 10).when(k % 4 == 2, 22).otherwise(0)
+    changed = F.transform(F.split(whole, ""), lambda c, i: F.when(F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", k.cast("string"), i.cast("string"))), 1, 6), 16, 10).cast("int"), F.lit(100)) < share, F.translate(c, AA, AA[1:] + AA[0])).otherwise(c))
+    part = F.substr(whole, F.floor(n / 3).cast("int"), F.floor(n / 2).cast("int"))
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 4 == 3, part).when(share == 0, whole).otherwise(F.array_join(changed, "")).alias("seq"))

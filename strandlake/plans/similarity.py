@@ -10,7 +10,7 @@ from ..functions import similarity as sim
 from ..functions import vectors as vec
 from ..operators import align, lookups, relational, simjoin
 from ..session import table
-from .domain import PROTEINS, entities, proteins, word_sets
+from .domain import PROTEINS, entities, kin, proteins, word_sets
 from .registry import query
 
 #: Pairs of a sequence with the one five places on.
@@ -72,6 +72,14 @@ def strategy_cascade_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.withColumn("identity", F.round("identity", 6))
 
 
+@query("indexed_sequence_search")
+def indexed_sequence_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 80 % identity of every 20th sequence in all sequences."""
+    p = kin(spark, sf_dir)
+    hits = lookups.window_hits(p.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("seq").alias("query")), p.select(F.col("id").alias("hit_id"), F.col("seq").alias("hit")))
+    return hits.withColumn("identity", F.round("identity", 6))
+
+
 @query("similarity_level_bucket", "SELECT CASE WHEN p = 100 THEN 'exact_match' WHEN p >= 90 THEN 'very_high' WHEN p >= 80 THEN 'high' WHEN p >= 70 THEN 'medium' WHEN p >= 50 THEN 'low' ELSE 'very_low' END AS level, count(*) AS n FROM (SELECT l_quantity * 2 AS p FROM lineitem) GROUP BY level")
 def similarity_level_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(seq.level(F.col("l_quantity") * 2).alias("level")).agg(F.count(F.lit(1)).alias("n"))

@@ -1,0 +1,97 @@
+"""Indexed searches over sequences and names, against brute force."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+from conftest import SF
+from pyspark.sql import functions as F
+
+from strandlake import plans
+from strandlake.functions import similarity as sim
+from strandlake.operators import lookups
+
+
+def best_place(q, d):
+    """(identity in percent, place) of the best window, by comparing all."""
+    if not q or not d or len(q) > len(d):
+        return 0.0, None
+    a, b = np.array(list(q)), np.array(list(d))
+    same = [int((b[p : p + len(a)] == a).sum()) for p in range(len(b) - len(a) + 1)]
+    top = max(same)
+    return top / len(q) * 100.0, same.index(top)
+
+
+def hits_of(queries, database, least):
+    out = []
+    for qi, q in queries:
+        for di, d in database:
+            identity, place = best_place(q, d)
+            if q and identity >= least:
+                out.append((qi, di, round(identity, 6), place))
+    return sorted(out)
+
+
+def frames(spark, queries, database):
+    return spark.createDataFrame(queries, "query_id long, query string"), spark.createDataFrame(database, "hit_id long, hit string")
+
+
+@pytest.mark.parametrize(("least", "letters"), [(80, "ACDE"), (80, "AC"), (90, "ACDEFG"), (60, "ACDEFG"), (100, "AC"), (51, "ABCDEFGH")])
+def test_window_hits_equal_all_windows(spark, least, letters):
+    rng = random.Random(least + len(letters))
+    text = lambda a, b: "".join(rng.choice(letters) for _ in range(rng.randint(a, b)))
+    database = [(i, text(0, 60)) for i in range(40)] + [(40, None), (41, ""), (42, "A" * 70)]
+    queries = [(0, None), (1, ""), (2, "A"), (3, "A" * 30), (4, database[3][1]), (5, database[3][1])]
+    for i in range(6, 40):
+        d = rng.choice(database[:40])[1]
+        at, n = rng.randint(0, max(0, len(d) - 1)), rng.randint(1, 40)
+        queries.append((i, "".join(c if rng.random() > 0.15 else rng.choice(letters) for c in d[at : at + n]) or text(1, 30)))
+    got = lookups.window_hits(*frames(spark, queries, database), least=least)
+    assert sorted((r["query_id"], r["hit_id"], round(r["identity"], 6), r["place"]) for r in got.collect()) == hits_of(queries, database, least)
+
+
+def test_window_hits_of_nothing_and_bounds(spark):
+    q, d = frames(spark, [(1, "ACDE")], [(1, "ACDE")])
+    assert lookups.window_hits(q.limit(0), d).count() == 0 and lookups.window_hits(q, d.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        lookups.window_hits(q, d, least=50)
+
+
+def test_indexed_search_finds_all_windows_of_long_sequences(spark):
+    rows = plans.domain.kin(spark, SF).collect()
+    texts = [(r["id"], r["seq"]) for r in rows]
+    assert max(len(t) for _, t in texts) > 700 and min(len(t) for _, t in texts) >= 50
+    want = hits_of([(i, t) for i, t in texts if i % 20 == 0], texts, 80)
+    got = plans.QUERIES["indexed_sequence_search"](spark, SF).collect()
+    assert sorted((r["query_id"], r["hit_id"], r["identity"], r["place"]) for r in got) == want and len(want) > 15
+
+
+def test_no_search_joins_by_nested_loop(spark):
+    p = plans.domain.proteins(spark, SF)
+    q, d = p.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("seq").alias("query")), p.select(F.col("id").alias("hit_id"), F.col("seq").alias("hit"))
+    for found in (lookups.cascade(q, d), lookups.window_hits(q, d)):
+        plan = found._jdf.queryExecution().toString()
+        assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_identities_equal_the_expressions(spark):
+    rng = random.Random(4)
+    text = lambda: "".join(rng.choice("ACDé") for _ in range(rng.randint(0, 12)))
+    rows = [(text(), text()) for _ in range(200)] + [(None, "A"), ("A", None), ("", ""), ("", "A"), ("A", "")]
+    both = spark.createDataFrame(rows, "q string, d string").withColumn("i", sim.identities(F.col("q"), F.col("d")))
+    for r in both.select("q", "d", "i.*", sim.best_identity(F.col("q"), F.col("d")).alias("b"), sim.window_identity(F.col("q"), F.col("d")).alias("w")).collect():
+        if r["q"] is not None and r["d"] is not None:
+            assert (r["best"], r["window"]) == (pytest.approx(r["b"]), pytest.approx(r["w"])), (r["q"], r["d"])
+        else:
+            assert r["best"] is None and r["window"] is None
+
+
+def test_cascade_of_long_sequences(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n))
+    base = text(600)
+    database = [(0, base), (1, text(50) + base + text(50)), (2, "".join(c if rng.random() > 0.45 else "A" for c in base)), (3, base[:560]), (4, text(600)), (5, base[100:300])]
+    got = lookups.cascade(*frames(spark, [(1, base)], database)).orderBy("place").collect()
+    assert [(r["hit_id"], r["strategy"]) for r in got] == [(0, 1), (1, 2), (2, 2), (3, 3)]
