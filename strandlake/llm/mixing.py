@@ -12,8 +12,9 @@ which the budget ends is sorted. What it yields is one cut key a source, so sele
 a source is.
 
 Defined cases: null and empty texts have size 0; the null source is a source, the last; repeated
-rows have equal keys and are taken alike; a very long text is taken whole or not, as comes nearer
-to the target; sources without words have target 0; an empty table gives an empty result; columns
+rows have equal keys and are counted, so that as many of them are taken as come nearest to the target
+(where the cut parts such copies of one row, those copies alone are numbered in one task); a very
+long text is taken whole or not, as comes nearer to the target; sources without words have target 0; an empty table gives an empty result; columns
 named like a result column give way to it.
 """
 
@@ -85,10 +86,13 @@ def source_cuts(keyed: DataFrame, source_col: str = "source", cycle: tuple[float
     ends = sums.withColumn("until", until).where(F.col("until") > F.col("left")).groupBy("_source").agg(F.min_by(F.struct("bucket", (F.col("until") - F.col("words")).alias("start")), "bucket").alias("end"))
     ends = materialize(ends.select(F.col("_source").alias("_of"), F.col("end.bucket").alias("cut_bucket"), F.col("end.start").alias("cut_start")), "ends")
     within = _hinted(placed, ends, F.col("_source").eqNullSafe(F.col("_of")) & (bucket == F.col("cut_bucket")), "inner")
+    alike = within.groupBy("_source", "_key", "_h").agg(*[F.first(c).alias(c) for c in ("size", "left", "cut_start")], F.count(F.lit(1)).alias("copies"))
     in_order = Window.partitionBy("_source").orderBy("_key", "_h").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one bucket of a source
-    sorted_ = within.withColumn("after", F.col("cut_start") + F.sum("size").over(in_order))
-    taken = sorted_.where(2 * F.col("after") - F.col("size") <= 2 * F.col("left"))
-    last = taken.groupBy("_source").agg(F.max(F.struct("_key", "_h")).alias("cut")).select(F.col("_source").alias("_at"), "cut")
+    room = F.col("left") - F.col("cut_start") - F.sum(F.col("size") * F.col("copies")).over(in_order) + F.col("size") * F.col("copies")
+    fit = F.when(F.col("size") > 0, F.floor(F.try_divide(2 * room + F.col("size"), 2 * F.col("size")))).otherwise(F.when(room >= 0, F.col("copies")).otherwise(0))
+    taken = alike.withColumn("fit", F.least(fit, "copies")).where(F.col("fit") > 0)
+    last = taken.groupBy("_source").agg(F.max(F.struct("_key", "_h", "fit", "copies")).alias("last"))
+    last = last.select(F.col("_source").alias("_at"), F.struct("last._key", "last._h").alias("cut"), F.col("last.fit").alias("cut_fit"), F.col("last.copies").alias("cut_copies"))
     cuts = plan.join(ends, F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of")
     return materialize(cuts.join(last, F.col("_source").eqNullSafe(F.col("_at")), "left").drop("_at"), "cuts")
 
@@ -120,10 +124,16 @@ def apply_cuts(keyed: DataFrame, cuts: DataFrame, source_col: str = "source") ->
     """``keyed`` with ``source_size``, ``target``, ``times`` (copies that the mix takes) and ``taken`` (their words)."""
     rows = keyed.drop("source_size", "target", "times", "taken")
     placed = _with_plan(rows, source_col, cuts)
+    few = F.lit(False)
+    if not cuts.where("cut_fit < cut_copies").isEmpty():
+        parted = F.coalesce((_bucket() == F.col("cut_bucket")) & (F.struct("_key", "_h") == F.col("cut")) & (F.col("cut_fit") < F.col("cut_copies")), F.lit(False))
+        place = F.row_number().over(Window.partitionBy("_source").orderBy("_h"))  # copies of one row
+        placed = placed.where(~parted).withColumn("_few", F.lit(False)).unionByName(placed.where(parted).withColumn("_few", place > F.col("cut_fit")))
+        few = F.col("_few")
     inside = F.when(F.col("cut_bucket").isNull(), F.col("left") > 0).otherwise(
         (_bucket() < F.col("cut_bucket")) | (_bucket() == F.col("cut_bucket")) & F.coalesce(F.struct("_key", "_h") <= F.col("cut"), F.lit(False))
     )
-    times = F.col("epochs") + F.when(inside, 1).otherwise(0)
+    times = F.col("epochs") + F.when(inside & ~few, 1).otherwise(0)
     kept = [F.col(c) for c in rows.columns if c not in ("_key", "_h", "_w")]
     return placed.withColumn("times", times.cast("long")).select(*kept, "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 

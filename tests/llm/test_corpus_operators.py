@@ -401,6 +401,20 @@ def test_mixing(spark):
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("copies", "words", "others"), [(100, 1000, 0), (100, 1000, 7), (7, 3, 2), (50, 0, 3), (1, 10, 0)])
+def test_mixing_of_repeated_rows_meets_the_target(spark, copies, words, others):
+    """Copies of one row are taken as often as comes nearest to the target, not all alike."""
+    rows = [(1, "w " * words, "a")] * copies + [(10 + i, "x y z " * (i + 1), "a") for i in range(others)] + [(5, "w " * 10, "b")] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    mixed = mixing.mix_sources(df).toPandas()
+    assert len(mixed) == len(rows) and (mixed.taken <= 2 * mixed["size"]).all()
+    for s, part in mixed.groupby("source"):
+        nearest = part["size"].max() / 2
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= nearest + 1e-6, s
+    again = mixing.mix_sources(df.repartition(3)).toPandas()
+    assert sorted(again.taken) == sorted(mixed.taken)
+
+
 def test_mixing_is_native(spark):
     plan = queries.queries()["op2_mix_sources"](spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
