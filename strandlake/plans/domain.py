@@ -124,3 +124,11 @@ def kin(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = F.transform(F.split(whole, ""), lambda c, i: F.when(F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", k.cast("string"), i.cast("string"))), 1, 6), 16, 10).cast("int"), F.lit(100)) < share, F.translate(c, AA, AA[1:] + AA[0])).otherwise(c))
     part = F.substr(whole, F.floor(n / 3).cast("int"), F.floor(n / 2).cast("int"))
     return table(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 4 == 3, part).when(share == 0, whole).otherwise(F.array_join(changed, "")).alias("seq"))
+
+
+def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, v): the entities' vectors, drawn to those of the first 40 entities, by turns."""
+    e = entities(spark, sf_dir)
+    centres = e.where("id < 40").select(F.col("id").alias("c"), F.col("v").alias("m"))
+    near = F.zip_with("v", "m", lambda x, y: x + 3.0 * y)
+    return e.join(F.broadcast(centres), F.col("id") % 40 == F.col("c")).select("id", near.alias("v"))  # 40 rows

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import sequences as seq
 from ..functions import similarity as sim
 from ..functions import vectors as vec
-from ..operators import align, lookups, relational, simjoin
+from ..operators import align, lookups, relational, simjoin, vectorindex
 from ..session import table
-from .domain import PROTEINS, entities, kin, proteins, word_sets
+from ..store import new_path
+from .domain import PROTEINS, clustered, entities, kin, proteins, word_sets
 from .registry import query
 
 #: Pairs of a sequence with the one five places on.
@@ -195,3 +196,11 @@ def candidate_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, near = table(spark, sf_dir, "part"), simjoin.nearest(entities(spark, sf_dir), "id", "v", 3)
     named = relational.lookup(relational.lookup(near, "src", p, "p_partkey", "p_name", "name_1"), "dst", p, "p_partkey", "p_name", "name_2")
     return named.select("src", "dst", "name_1", "name_2", F.round("score", 6).alias("score"))
+
+
+@query("vector_index_search")
+def vector_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every 20th vector by a stored index of all."""
+    v, path = clustered(spark, sf_dir), new_path(spark, "index")
+    vectorindex.build(v, "id", "v", path)
+    return vectorindex.search(v.where("id % 20 = 0"), "id", "v", path, 10)
