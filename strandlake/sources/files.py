@@ -172,24 +172,19 @@ def read_cif(spark: SparkSession, path: str, items: Sequence[str]) -> DataFrame:
 
 
 def read_npy(spark: SparkSession, vectors: str, dim: int, ids: str | None = None) -> DataFrame:
-    """A two-dimensional .npy file as rows (idx, embedding), and with ids the same rows' ids.
+    """A two-dimensional .npy file as rows (idx, embedding), and with ids, a JSON list or an .npy file of strings, the same rows' ids.
 
-    A file is read whole by one task (2 GB at most), larger sets are several files, each numbered from 0.
+    Ranges of rows are read by tasks of their own.
     """
-    files = spark.read.format("binaryFile").load(vectors).select("path", "content")
-
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for content in part["content"]:
-                m = np.load(io.BytesIO(bytes(content)), allow_pickle=False)
-                if m.ndim != 2 or m.shape[1] != dim:
-                    raise ValueError(f"vectors of {dim} numbers are expected, the file has the shape {m.shape}")
-                for at in range(0, len(m), 1024):
-                    rows = m[at : at + 1024].astype(np.float32)
-                    yield pd.DataFrame({"idx": np.arange(at, at + len(rows)), "embedding": list(rows)})
-
-    out = files.mapInPandas(cut, "idx long, embedding array<float>")
-    return out if ids is None else out.join(read_json_list(spark, ids, "id"), "idx")
+    from .arrays import read_arrays
+
+    rows = read_arrays(spark, vectors)
+    shape = F.concat_ws(", ", F.transform("shape", lambda n: n.cast("string")))
+    right = (F.size("shape") == 2) & (F.element_at("shape", 2) == dim)
+    out = rows.select("idx", F.when(right, F.col("values").cast("array<float>")).otherwise(F.raise_error(F.concat(F.lit(f"vectors of {dim} numbers are expected, the file has the shape "), shape))).alias("embedding"))
+    if ids is None:
+        return out
+    return out.join(read_arrays(spark, ids).select("idx", F.col("text").alias("id")) if ids.endswith(".npy") else read_json_list(spark, ids, "id"), "idx")
 
 
 def read_excel(spark: SparkSession, path: str, schema: T.StructType, header: int = 0, sheet: int | str = 0) -> DataFrame:
