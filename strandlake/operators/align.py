@@ -4,6 +4,10 @@ All pairs of a batch go through the recurrence together, one cell at a time for
 numpy works on whole batches. A gap of length L costs ``open + (L - 1) * extend``. Of equal scores
 a match is taken before a gap in the second sequence, and that before a gap in the first. Identity is
 the share of equal columns among those of both whole sequences, also for local alignments.
+
+Pairs whose tables would be too large go alone, one diagonal at a time: states are kept at every
+few hundredth diagonal only, and the choices between two of these are made again on the way back, so
+memory grows with the root of the table, and of equal scores the same alignment is taken.
 """
 
 from __future__ import annotations
@@ -119,6 +123,109 @@ def align_batch(a: list[str], b: list[str], mode: str, match: float, mismatch: f
     return score, np.where(columns > 0, 100.0 * same / np.maximum(columns, 1), 0.0)
 
 
+class _LongPair:
+    """One pair of not empty strings by diagonals i + j, each a vector over i."""
+
+    def __init__(self, a: str, b: str, local: bool, match: float, mismatch: float, open_: float, extend: float):
+        self.x, self.y = (np.frombuffer(t.encode("utf-32-le"), np.int32) for t in (a, b))
+        self.n, self.m, self.local = len(a), len(b), local
+        self.match, self.mismatch, self.open, self.extend = match, mismatch, open_, extend
+
+    def first(self) -> np.ndarray:
+        out = np.full((3, self.n + 1), -1e18)
+        out[_M, 0] = 0.0
+        return out
+
+    def step(self, d: int, last: np.ndarray, before: np.ndarray, choices: np.ndarray | None = None) -> np.ndarray:
+        """States of diagonal ``d`` from those of the two before it; ``choices`` takes two bits for each state."""
+        out = np.full((3, self.n + 1), -1e18)
+        s, e = max(1, d - self.m), min(self.n, d - 1) + 1
+        if s < e:
+            near = np.where(self.x[s - 1 : e - 1] == self.y[d - e : d - s][::-1], self.match, self.mismatch)
+            value, pick = self._best(before[:, s - 1 : e - 1])
+            if self.local:
+                pick[value <= 0] = _STOP
+                value = np.maximum(value, 0.0)
+            out[_M, s:e] = value + near
+            made = pick
+            for state, prev, shift in ((_X, last[:, s - 1 : e - 1], 2), (_Y, last[:, s:e], 4)):
+                cost = prev + self.open
+                cost[state] = prev[state] + self.extend
+                out[state, s:e], pick = self._best(cost)
+                made = made | pick << shift
+            if choices is not None:
+                choices[s:e] = made
+        for at, state, shift, there in ((0, _Y, 4, d <= self.m), (d, _X, 2, d <= self.n)):
+            if there and self.local:
+                out[_M, at] = 0.0
+                if choices is not None:
+                    choices[at] = _STOP
+            elif there:
+                out[state, at] = self.open + (d - 1) * self.extend
+                if choices is not None:
+                    choices[at] = (state if d > 1 else _M) << shift
+        return out
+
+    @staticmethod
+    def _best(states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m, x, y = states
+        x_better = x > m
+        value = np.maximum(m, x)
+        y_better = y > value
+        return np.maximum(value, y), np.where(y_better, np.uint8(_Y), x_better.view(np.uint8))
+
+    def align(self) -> tuple[float, float]:
+        """Score and percent of identical columns, as ``align_batch`` gives them."""
+        n, m = self.n, self.m
+        every = max(16, int((16 * (n + m)) ** 0.5))
+        kept, best = {}, (0.0, 0, 0)
+        last, before = self.first(), np.full((3, n + 1), -1e18)
+        for d in range(1, n + m + 1):
+            if (d - 1) % every == 0:
+                span = slice(max(0, d - 2 - m), min(n, d - 1) + 1)
+                kept[d] = (span, last[:, span].copy(), before[:, span].copy())
+            last, before = self.step(d, last, before), last
+            if self.local:
+                top = last[_M].max()
+                if top >= best[0] and top > 0:
+                    i = int(np.flatnonzero(last[_M] == top)[0])
+                    if top > best[0] or (i, d - i) < best[1:]:
+                        best = (float(top), i, d - i)
+        if self.local:
+            score, i, j = best
+            now = _M
+        else:
+            now = int(np.argmax(last[:, n]))
+            score, i, j = float(last[now, n]), n, m
+        end_i, end_j, same, columns = i, j, 0, 0
+        base, choices = None, np.zeros((every, n + 1), np.uint8)
+        while (score > 0 and now != _STOP) if self.local else i > 0 or j > 0:
+            d = i + j
+            start = (d - 1) // every * every + 1
+            if start != base:
+                base = start
+                span, *states = kept.pop(start)
+                last, before = np.full((3, n + 1), -1e18), np.full((3, n + 1), -1e18)
+                last[:, span], before[:, span] = states
+                for k in range(start, d + 1):
+                    last, before = self.step(k, last, before, choices[k - start]), last
+            columns += 1
+            state, now = now, choices[d - base, i] >> 2 * now & 3
+            if state == _M:
+                same += int(self.x[i - 1] == self.y[j - 1])
+            i, j = i - (state != _Y), j - (state != _X)
+        if self.local and columns:
+            ahead, behind = min(i, j), min(n - end_i, m - end_j)
+            same += int((self.x[i - ahead : i] == self.y[j - ahead : j]).sum()) + int((self.x[end_i : end_i + behind] == self.y[end_j : end_j + behind]).sum())
+            columns += max(i, j) + max(n - end_i, m - end_j)
+        return score, 100.0 * same / columns if columns else 0.0
+
+
+def align_long(a: str, b: str, mode: str, match: float, mismatch: float, open_: float, extend: float) -> tuple[float, float]:
+    """Score, and percent of identical columns, of the best alignment of two not empty strings of any length."""
+    return _LongPair(a, b, mode == "local", match, mismatch, open_, extend).align()
+
+
 def alignment_identity(mode: str = "global", match: float = 2.0, mismatch: float = -1.0, open_: float = -0.5, extend: float = -0.1):
     """A function of two string columns: percent of identical columns of both sequences, laid out by the best alignment; 0 with an empty or null one."""
     if mode not in ("global", "local"):
@@ -139,6 +246,10 @@ def alignment_identity(mode: str = "global", match: float = 2.0, mismatch: float
                         break
                     rows, cols, upto = r, c, upto + 1
                 k = todo[at:upto]
+                if (rows + 1) * (cols + 1) > CELLS:
+                    out[k[0]] = align_long(a[k[0]], b[k[0]], mode, match, mismatch, open_, extend)[1]
+                    at = upto
+                    continue
                 out[k] = align_batch([a[q] for q in k], [b[q] for q in k], mode, match, mismatch, open_, extend)[1]
                 at = upto
             yield pd.Series(out)

@@ -86,6 +86,30 @@ def test_alignment(mode):
     assert (identity >= 0).all() and (identity <= 100).all()
 
 
+@pytest.mark.parametrize("mode", ["global", "local"])
+def test_long_alignment_equals_the_tables(mode):
+    rng = random.Random(11)
+    for _ in range(150):
+        a, b = ("".join(rng.choice("ACG") for _ in range(rng.randint(1, 45))) for _ in range(2))
+        score, identity = align.align_batch([a], [b], mode, 2.0, -1.0, -0.5, -0.1)
+        assert align.align_long(a, b, mode, 2.0, -1.0, -0.5, -0.1) == (pytest.approx(score[0]), pytest.approx(identity[0])), (a, b)
+
+
+def test_long_pairs_take_little_memory(spark):
+    import tracemalloc
+
+    rng = random.Random(2)
+    a = "".join(rng.choice("ACGT") for _ in range(3000))
+    b = a[:1000] + "GATTACA" + a[1040:]
+    tracemalloc.start()
+    _, identity = align.align_long(a, b, "global", 2.0, -1.0, -0.5, -0.1)
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20  # the tables would take 54 MB for choices alone
+    tracemalloc.stop()
+    assert 98 < identity < 99.5
+    got = align.align_pairs(spark.createDataFrame([(a, b), ("ACGT", "ACGT"), (a, None)], "a string, b string"), "a", "b").select("alignment").collect()
+    assert [r[0] for r in got] == [pytest.approx(identity), 100.0, 0.0]
+
+
 def test_alignment_of_nulls(spark):
     df = spark.createDataFrame([("ACGT", "ACGT"), (None, "A"), ("", "A")], "a string, b string")
     assert [r[0] for r in align.align_pairs(df, "a", "b").select("alignment").collect()] == [100.0, 0.0, 0.0]
