@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
-from ..operators import graph, linkpred
+from ..operators import graph, graphreport, linkpred
 from ..session import table
 from .domain import KGE, NODES, TRIPLES, entities, links, nodes, relation, triples
 from .registry import query
@@ -84,6 +84,31 @@ def closeness_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.orderBy(F.desc("closeness"), F.desc("reached"), "node").limit(200).withColumn("closeness", F.round("closeness", 6))
 
 
+@query("core_numbers")
+def core_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Core number of every node."""
+    return graphreport.core_numbers(triples(spark, sf_dir))
+
+
+@query("dense_core")
+def dense_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first core that is dense enough for a report."""
+    return graphreport.dense_core(triples(spark, sf_dir), 0.01).withColumn("density", F.round("density", 6))
+
+
+@query("closeness_by_sketches")
+def closeness_by_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 200 nodes of highest closeness, estimated for all."""
+    found = graphreport.sketched_closeness(triples(spark, sf_dir))
+    return found.orderBy(F.desc("closeness"), F.desc("reached"), "node").limit(200).withColumn("closeness", F.round("closeness", 6))
+
+
+@query("triangles_by_sampling")
+def triangles_by_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangles of all links, estimated from 20,000 pairs of neighbours."""
+    return graphreport.sampled_triangles(links(spark, sf_dir))
+
+
 @query("edge_buckets", f"WITH {TRIPLES}, h AS (SELECT CAST(('0x' || substr(md5('42|' || src), 1, 8)) AS BIGINT) % 4 AS a, CAST(('0x' || substr(md5('42|' || dst), 1, 8)) AS BIGINT) % 4 AS b, CAST(('0x' || substr(md5(concat_ws('|', '42', src, rel, dst)), 1, 8)) AS BIGINT) % 16 AS c FROM (SELECT DISTINCT src, rel, dst FROM triples)) SELECT CAST(a AS INTEGER) AS src_part, CAST(b AS INTEGER) AS dst_part, CAST(c AS INTEGER) AS chunk, count(*) AS n FROM h GROUP BY ALL")
 def edge_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = graph.edge_buckets(triples(spark, sf_dir).distinct(), 4, 16)
