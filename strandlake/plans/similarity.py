@@ -151,10 +151,10 @@ def knn_undirected_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.best_undirected(near, "src", "dst", "score").select("src", "dst", F.round("score", 6).alias("score"))
 
 
-@query("l2_normalise", "SELECT vec_id AS id, round(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN embedding]) / list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN embedding]), 6) AS square, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN embedding])), 6) AS first FROM embeddings")
+@query("l2_normalise", "WITH n AS (SELECT vec_id AS id, [CAST(x AS DOUBLE) / sqrt(list_sum([CAST(y AS DOUBLE) * CAST(y AS DOUBLE) FOR y IN embedding])) FOR x IN embedding] AS u FROM embeddings) SELECT id, round(list_sum([x * x FOR x IN u]), 6) AS square, round(u[1], 6) AS first, round(u[64], 6) AS last FROM n")
 def l2_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = entities(spark, sf_dir).withColumn("u", vec.normalise(F.col("v")))
-    return e.select("id", F.round(vec.dot(F.col("u"), F.col("u")), 6).alias("square"), F.round(F.col("u")[0], 6).alias("first"))
+    return e.select("id", F.round(vec.dot(F.col("u"), F.col("u")), 6).alias("square"), F.round(F.col("u")[0], 6).alias("first"), F.round(F.col("u")[63], 6).alias("last"))
 
 
 @query("masked_mean_pool", """WITH t AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r, count(*) OVER (PARTITION BY label) AS n, embedding AS e FROM embeddings)

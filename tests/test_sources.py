@@ -60,6 +60,28 @@ def test_lookups_are_typed_and_kept(spark):
     assert requests.fetch(keys, "k", client, requests.Policy(pause=0), known=got).where("key = 'a'").count() == 0
 
 
+def test_pages_cutoffs_and_the_last_of_a_name(spark):
+    held = {"a": [{"identifier": f"A{i}", "score": 1 - i / 10} for i in range(7)], "b": [{"identifier": "", "score": 1.0}, {"identifier": "B", "score": None}], "c": []}
+
+    def client(key, start, rows):
+        if key == "bad":
+            raise OSError("down")
+        assert rows <= 3
+        return None if key == "none" else json.dumps({"result_set": held[key][start : start + rows]})
+
+    keys = spark.createDataFrame([("a",), ("b",), ("c",), ("bad",), ("none",)], "k string")
+    got = requests.fetch_pages(keys, "k", client, rows=3, limit=5, policy=requests.Policy(pause=0, retries=1))
+    assert {r["key"]: (r["success"], r["error"]) for r in got.collect()} == {"a": (True, None), "b": (True, None), "c": (True, None), "bad": (False, "OSError: down"), "none": (False, "not found")}
+    hits = lambda least: sorted((r["key"], r["identifier"], r["similarity"]) for r in requests.sequence_hits(got, least).collect())
+    assert hits(0.0) == [("a", "A0", 100.0), ("a", "A1", 90.0), ("a", "A2", 80.0), ("a", "A3", 70.0), ("a", "A4", 60.0), ("b", "B", 0.0)]
+    assert hits(0.8) == [("a", "A0", 100.0), ("a", "A1", 90.0), ("a", "A2", 80.0)]
+    assert requests.fetch_pages(keys, "k", client, rows=3, policy=requests.Policy(pause=0), known=got).select("key").distinct().count() == 2
+    body = json.loads(spark.range(1).select(requests.sequence_query(F.lit("MKLV"), 0.5, rows=3)).first()[0])
+    assert body["query"]["parameters"]["value"] == "MKLV" and body["query"]["parameters"]["identity_cutoff"] == 0.5 and body["request_options"]["paginate"] == {"start": 0, "rows": 3}
+    named = spark.createDataFrame([("x", True, json.dumps({"compounds": [{"cid": 1}, {"cid": 2}]}), None), ("y", True, json.dumps({"compounds": []}), None), ("z", False, None, "e")], requests.ANSWERS)
+    assert [tuple(r) for r in requests.last_compounds(named, "struct<cid:long>").collect()] == [("x", 2)]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", "r", "b", True), ("c", "r", "d", False)], "src string, rel string, dst string, ok boolean")
     sinks.write_triples(df, str(tmp_path / "t"))
