@@ -46,3 +46,16 @@ def overwrite_batches(rows: DataFrame, path: str, partitions: list[str], checkpo
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions, "batch").parquet(path)
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def sessions(rows: DataFrame, key: str, time: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """(key, start, end, n) of the sessions of each key: rows that follow each other within the gap; ``end`` is the last row's time.
+
+    For streams and tables alike. In a stream rows that come later than the watermark allows are
+    dropped, and a session is given out once the watermark has passed its end and gap. Null keys are
+    a key like others, rows without a time are left out.
+    """
+    placed = rows.where(F.col(time).isNotNull())
+    placed = placed.withWatermark(time, late) if rows.isStreaming else placed
+    counted = placed.groupBy(F.session_window(time, gap).alias("_s"), key).agg(F.count(F.lit(1)).alias("n"), F.max(time).alias("end"))
+    return counted.select(key, F.col("_s.start").alias("start"), "end", "n")
