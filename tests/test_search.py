@@ -95,3 +95,34 @@ def test_cascade_of_long_sequences(spark):
     database = [(0, base), (1, text(50) + base + text(50)), (2, "".join(c if rng.random() > 0.45 else "A" for c in base)), (3, base[:560]), (4, text(600)), (5, base[100:300])]
     got = lookups.cascade(*frames(spark, [(1, base)], database)).orderBy("place").collect()
     assert [(r["hit_id"], r["strategy"]) for r in got] == [(0, 1), (1, 2), (2, 2), (3, 3)]
+
+
+def plain_resolution(spark, queries, names, least, cap):
+    """All queries with all names, scored by the expression."""
+    from strandlake.functions.sequences import relevance
+
+    q, n = spark.createDataFrame(queries, "query_id long, query string"), spark.createDataFrame(names, "entry_id long, protein string, gene string")
+    scored = q.crossJoin(n).select("query_id", "query", "entry_id", relevance(F.col("query"), F.col("protein"), F.col("gene")).alias("r")).collect()
+    out = []
+    for i, text in queries:
+        if text and text.strip():
+            best = sorted((-r["r"], r["entry_id"]) for r in scored if r["query_id"] == i and r["r"] >= least)[:cap]
+            out += [(i, e, -r, at) for at, (r, e) in enumerate(best, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("least", "cap"), [(30.0, 10), (30.0, 3), (40.0, 10), (10.0, 25)])
+def test_names_resolve_as_by_all_pairs(spark, least, cap):
+    rng = random.Random(cap)
+    words = ["kinase", "kin", "receptor", "alpha", "a", "Beta", "beta2", "protein", "x1", "ab"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(rng.randint(0, n)))
+    names = [(i, text(4), text(2)) for i in range(120)] + [(200, None, "kinase"), (201, "alpha", None), (202, None, None), (203, "", "")]
+    names += [(300 + i, "receptor kinase", "a") for i in range(60)]
+    queries = [(i, text(3)) for i in range(25)] + [(100, None), (101, "  "), (102, "nothing alike"), (103, "Kinase"), (104, "receptor kinase"), (105, "a")]
+    models = spark.createDataFrame([(n[0], [90.0, 70.0]) for n in names], "entry_id long, confidence array<double>")
+    q, n = spark.createDataFrame(queries, "query_id long, query string"), spark.createDataFrame(names, "entry_id long, protein string, gene string")
+    found = lookups.resolve_names(q, n, models, least, cap)
+    assert "NestedLoop" not in (plan := found._jdf.queryExecution().toString()) and "Cartesian" not in plan
+    got = sorted((r["query_id"], r["entry_id"], r["relevance"], r["place"]) for r in found.collect())
+    want = plain_resolution(spark, queries, names, least, cap)
+    assert (sorted(set(got) - set(want))[:5], sorted(set(want) - set(got))[:5]) == ([], []) and got == want
