@@ -186,7 +186,7 @@ def _pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None, window: in
                     columns = {"doc_id": part.column("doc_id").take(of), "task": part.column("task").take(of), "start": start, "doc_tokens": total, "nth": nth, "length": length, "ids": ids}
                     yield pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in schema], schema=schema)
 
-    return materialize(map_arrow(rows, cut, T.StructType(fields)), "pieces")
+    return materialize(map_arrow(rows, cut, T.StructType(fields), keeps="ids"), "pieces")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None = None, window: int = 2048, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import map_arrow
+from .arrow import REMEMBERED, map_arrow
 from .kernel import slices
 from ..store import materialize, new_path
 
@@ -261,6 +261,7 @@ class RunEncoder:
 
 
 _encoders: dict[str, RunEncoder] = {}
+REMEMBERED["ids"] = _encoders.clear
 
 
 def open_encoder(path: str) -> RunEncoder:
@@ -300,7 +301,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out_uri: str, end_id: int
             sink.close()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "uri": uri, "n_docs": len(writer.doc_ids), "n_ids": writer.n_ids}], schema=schema)
 
-    return materialize(map_arrow(placed, write, MANIFEST), "manifest")
+    return materialize(map_arrow(placed, write, MANIFEST, keeps="ids"), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:

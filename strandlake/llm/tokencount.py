@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .arrow import map_arrow, plus
+from .arrow import REMEMBERED, map_arrow, plus
 from .kernel import slices, with_columns
 
 #: Pieces whose lengths a worker remembers at most, and the longest of them in characters.
@@ -30,6 +30,7 @@ MEMORY_PIECES, MEMORY_CHARS = 800_000, 64
 CALL_CHARS = 1 << 20
 
 _counters: dict[str, PieceCounter | WholeCounter] = {}
+REMEMBERED["lengths"] = _counters.clear
 
 
 class WholeCounter:
@@ -140,4 +141,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -
                 n = counter.counts([t or "" for t in texts.to_pylist()])
                 yield with_columns(part, {"n_bytes": n_bytes, "n_tokens": pa.array(np.array(n, np.int64))}, schema)
 
-    return map_arrow(docs, count, plus(docs.schema, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())))
+    return map_arrow(docs, count, plus(docs.schema, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())), keeps="lengths")

@@ -9,12 +9,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from strandlake.llm import centroids, packing
+from strandlake.llm import arrow, centroids, packing, tokenbin
 from strandlake.llm.queries import queries
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -146,6 +148,23 @@ def test_sequences_hold_their_pieces_and_padding(spark):
     assert sum(s["n_tokens"] for s in whole) == sum(101 + 37 * i for i in range(60))
 
 
+def test_workers_forget_what_other_operators_remember(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string").coalesce(1)
+    schema = T.StructType([T.StructField("n", T.LongType())])
+
+    def held(open_one):
+        def work(batches, arrow_schema):
+            if open_one:
+                tokenbin.open_encoder(WORDS)
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([len(tokenbin._encoders)] * batch.num_rows)], schema=arrow_schema)
+
+        return work
+
+    assert arrow.map_arrow(docs, held(True), schema, keeps="ids").first()["n"] == 1
+    assert arrow.map_arrow(docs, held(False), schema).first()["n"] == 0
+
+
 def plain_lloyd(rows, k=8, rounds=10, dims=64):
     """(vec_id, cluster, distance) and centroids with Python's own whole numbers."""
     kept = [(i, [max(-(2**27), min(2**27, int(np.floor(1024 * float(x))))) for x in v]) for i, v in rows if v is not None and len(v) == dims and all(x is not None and np.isfinite(x) for x in v)]
