@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.relational import without_known
+from ..store import qualified
 
 #: Rows of a text report at most.
 REPORT_ROWS = 10_000
@@ -82,10 +83,10 @@ def write_arrays(df: DataFrame, columns: Sequence[str], uri: str, name: str = "p
     """Each partition as ``<name>-<number>.npz``, compressed, with an array for each column; arrays of numbers become matrices, so their lengths must agree.
 
     Returns (file, rows) of what was written, after reading each file back. A task that runs again
-    writes the same file. ``uri`` is a folder that pyarrow's file systems open; a partition's columns
+    writes the same file. ``uri`` is a folder that pyarrow's file systems open, of Hadoop's default file system where it names none; a partition's columns
     are held in memory.
     """
-    schema = df.select(*columns).schema
+    schema, uri = df.select(*columns).schema, qualified(df.sparkSession, uri)
     wide = {f.name for f in schema if f.dataType.typeName() == "array"}
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

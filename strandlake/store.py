@@ -16,12 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 _made: list[str] = []
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and authority of Hadoop's default file system where it names none, as Spark's writers take it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a folder of our own only in local mode where none is set."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if base:
-        return base.rstrip("/")
+        return qualified(spark, base).rstrip("/")
     if not sc.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     folder = tempfile.mkdtemp(prefix="strandlake-")

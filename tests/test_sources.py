@@ -139,6 +139,24 @@ def test_arrays_are_written_by_partition(spark, tmp_path):
             assert got["v"].dtype == np.float32 and got["v"].shape == (r["rows"], 2)
             assert (got["v"][:, 0] == got["id"]).all() and got["name"].tolist() == [str(i) for i in got["id"]]
     assert sinks.write_arrays(df.limit(0), ["id"], f"file://{tmp_path}/none").count() == 0
+    assert sinks.write_arrays(df, ["id"], f"{tmp_path}/plain").count() == 3  # of the default file system
+
+
+def test_paths_without_scheme_are_of_the_default_file_system(spark):
+    from strandlake.store import new_path, qualified, remove
+
+    assert qualified(spark, "/a/b") == "file:/a/b" == qualified(spark, "file:///a/b/")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.viewfs.mounttable.c.link./a", "file:///tmp")
+    conf.set("fs.defaultFS", "viewfs://c/")
+    try:
+        assert qualified(spark, "/a/b") == "viewfs://c/a/b" and qualified(spark, "file:/a/b") == "file:/a/b"
+    finally:
+        conf.set("fs.defaultFS", before)
+    path = new_path(spark, "x")
+    assert ":/" in path
+    remove(spark, path)
 
 
 def test_reports(spark):
