@@ -11,8 +11,9 @@ verified by comparing all words of the item-sized window. The work is a scan of
 without a shuffle, so hot sources, copies and frequent passages change no task's share.
 
 The benchmark side is cut into blocks of ``block_windows`` pairs of a window and an item, at most
-one item's windows more; only one block's index is ever broadcast at a time, and the documents pass
-through one Arrow function per block, so a benchmark of any size is joined whole. Frequencies are
+one item's windows more. Beyond the first block the documents are stored with what was found so far
+and the block's index is destroyed before the next one is broadcast, so one bounded index is alive at
+a time and a benchmark of any size is joined whole. Frequencies are
 counted before, in one scan for each ``block_words`` different words of the whole benchmark.
 
 Defined cases: null or empty texts have no words and are never hit; very long texts are judged
@@ -23,7 +24,6 @@ that are named like a result column give way to it.
 
 from __future__ import annotations
 
-import itertools
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -169,11 +169,12 @@ def decontaminate(
     """``docs`` with ``n_words``, ``spans`` (merged [start, end) word ranges that are hit), ``items`` (ids as sorted strings) and ``contaminated``."""
     kept = plus(docs.schema, T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType())))
     span_type, text_at = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), text_col
-    sc, out = docs.sparkSession.sparkContext, docs
+    sc, out, stored = docs.sparkSession.sparkContext, docs, None
     read = lambda: item_words(benchmark, item_col, item_text_col)
     counted = [document_frequencies(docs, text_col, words) for words in blocks_of_words(read(), block_words)]
     blocks = blocks_of_windows(read(), window, block_windows)
-    for n, block in enumerate(itertools.chain([next(blocks, {})], blocks)):
+    block, n = next(blocks, {}), 0
+    while block is not None:
         vocabulary = frozenset(word for w in block for word in w)
         shared, again = sc.broadcast(prefix_index(block, frequencies_of(vocabulary, counted))), n > 0
 
@@ -195,6 +196,13 @@ def decontaminate(
                     yield with_columns(part, {"n_words": pa.array(np.array(counts, np.int64)), "spans": pa.array(spans, span_type), "items": pa.array(items, pa.list_(pa.string()))}, schema)
 
         out = map_arrow(out, judge, kept)
+        block, n = next(blocks, None), n + 1
+        if block is not None:
+            before, stored = stored, materialize(out, "judged")
+            out = stored
+            shared.destroy()
+            if before is not None:
+                discard(before)
     for table in counted:
         discard(table)
     return out.withColumn("contaminated", F.size("spans") > 0)

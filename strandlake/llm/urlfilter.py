@@ -8,8 +8,9 @@ rules, and only those run their regular expressions; rules without a literal are
 Of the host rules that fit, the longest wins; without one the longest fitting pattern decides;
 without that the URL is allowed.
 
-Rules are taken in blocks of at most ``BLOCK_RULES``, so one bounded index is broadcast at a time;
-each block's pass keeps the longest rule so far. Literals of all rules, which the caller holds as a list,
+Rules are taken in blocks of at most ``BLOCK_RULES``. Beyond the first block the URLs are stored with
+the longest rule so far and the block's index is destroyed before the next one is broadcast, so one
+bounded index is alive at a time. Literals of all rules, which the caller holds as a list,
 are counted in one scan for each ``BLOCK_LITERALS`` of them. No shuffle of URLs takes place, whatever tokens
 are frequent.
 
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..store import discard, materialize
 from .arrow import map_arrow, plus
 from .kernel import ALNUM, ALNUM_TRANSLATE, slices, with_columns
 
@@ -55,9 +57,10 @@ class UrlRule:
 
     def regex(self) -> bytes:
         """Matched at the start of host and path, or searched in the URL with A-Z lower-cased."""
+        text = self.text.encode().lower()  # bytes: A-Z only, as in URLs
         if self.is_pattern:
             border = rb"(?:^|$|[\x00-\x2F\x3A-\x60\x7B-\x7F])"
-            return b"".join(border if c == "^" else b".*?" if c == "*" else re.escape(c.encode()) for c in self.text.lower())
+            return b"".join({b"^": border, b"*": b".*?"}.get(c, re.escape(c)) for c in re.findall(rb".", text, re.DOTALL))
         host, _, path = self.text.partition("/")
         return rb"(?:[^/]*\.)?" + re.escape(host.encode().lower()) + re.escape(b"/" + path.encode())
 
@@ -118,7 +121,7 @@ def rule_index(rules: list[UrlRule], counts: dict[bytes, int]) -> tuple[dict[byt
 def filter_urls(pages: DataFrame, rules: list[UrlRule], url_col: str = "url", block_rules: int = BLOCK_RULES) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` (the host rule that decided, else null), ``pattern`` (else the pattern that did) and ``verdict``."""
     text = T.StringType()
-    out = pages
+    out, stored = pages, None
     fields = [T.StructField(c, text) for c in ("host", "path", "rule", "pattern", "rule_action", "pattern_action")]
     sc = pages.sparkSession.sparkContext
     literals = sorted({t for r in rules for t in r.literals()})
@@ -160,5 +163,11 @@ def filter_urls(pages: DataFrame, rules: list[UrlRule], url_col: str = "url", bl
                     yield with_columns(part, {f.name: c for f, c in zip(fields, columns, strict=True)}, schema)
 
         out = map_arrow(out, judge, plus(pages.schema, *fields))
+        if at + block_rules < len(rules):
+            before, stored = stored, materialize(out, "judged")
+            out = stored
+            shared.destroy()
+            if before is not None:
+                discard(before)
     decided = F.coalesce("rule_action", "pattern_action", F.lit("allow"))
     return out.withColumn("pattern", F.when(F.col("rule").isNull(), F.col("pattern"))).withColumn("verdict", decided).drop("rule_action", "pattern_action")

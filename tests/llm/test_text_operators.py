@@ -14,6 +14,7 @@ import pytest
 from conftest import SF, rows_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import functions as F
 
 from strandlake.llm import decontaminate as dec
@@ -68,6 +69,47 @@ def test_decontamination(spark, block):
     assert all(r["contaminated"] == bool(r["spans"]) for r in got.collect())
 
 
+@pytest.fixture
+def most_alive(spark, monkeypatch):
+    """Runs a function and gives its result and the most indexes that were broadcast and not destroyed at a time."""
+    alive, most = set(), [0]
+    make, end = type(spark.sparkContext).broadcast, Broadcast.destroy
+
+    def broadcast(self, value):
+        out = make(self, value)
+        if not isinstance(value, frozenset):  # words to count are given back by their own scan
+            alive.add(id(out))
+            most[0] = max(most[0], len(alive))
+        return out
+
+    def destroy(self, blocking=False):
+        alive.discard(id(self))
+        end(self, blocking)
+
+    def run(work):
+        alive.clear()
+        most[0] = 0
+        return work(), most[0]
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    monkeypatch.setattr(Broadcast, "destroy", destroy)
+    return run
+
+
+def test_one_block_of_an_index_is_alive_at_a_time(spark, most_alive):
+    items = [(i, " ".join(f"w{i + k}" for k in range(12))) for i in range(20)]
+    docs = spark.createDataFrame([(i, " ".join(f"w{3 * i + k}" for k in range(15)), "x") for i in range(8)] + [(9, None, None)], "doc_id long, text string, Items string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    ask = lambda n: sorted(map(str, dec.decontaminate(docs, bench, block_windows=n).collect()))
+    whole, once = most_alive(lambda: ask(10**6))
+    assert most_alive(lambda: ask(15)) == (whole, once) and once == 1
+    urls = spark.createDataFrame([(i, f"http://site{i}.org/word{i}/") for i in range(12)], "page_id long, url string")
+    rules = [urlfilter.UrlRule(f"site{i}.org/", "block") for i in range(6)] + [urlfilter.UrlRule(f"/word{i}/", "block", True) for i in range(4, 9)]
+    judge = lambda n: sorted(map(str, urlfilter.filter_urls(urls, rules, block_rules=n).collect()))
+    whole, once = most_alive(lambda: judge(100))
+    assert most_alive(lambda: judge(3)) == (whole, once) and once == 1
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
@@ -236,6 +278,16 @@ def test_patterns_are_indexed_by_bounded_tokens(spark):
     assert urlfilter.filter_urls(df.limit(0), rules[:5]).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 100])
+def test_patterns_lower_only_ascii_letters(spark, block):
+    texts = ["^É^", "/Ünï/*x", "^İstanbul^", "É.Org/É", "Ads^"]
+    urls = ["http://x.com/É/", "http://x.com/é/", "http://x.com/ÜNï/abcX", "http://x.com/ünï/x", "http://x.com/İSTANBUL/", "http://É.ORG/Éa", "http://é.org/Éa", "http://x.com/ADS", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [urlfilter.UrlRule(t, "block", i != 3) for i, t in enumerate(texts)]
+    got = {r["page_id"]: r["rule"] or r["pattern"] for r in urlfilter.filter_urls(df, rules, block_rules=block).collect()}
+    assert got == {0: "^É^", 1: None, 2: "/Ünï/*x", 3: None, 4: "^İstanbul^", 5: "É.Org/É", 6: None, 7: "Ads^", 8: None}
+
+
 def test_decoding_takes_the_nearest_codeword():
     rng = np.random.default_rng(3)
     n = 9
