@@ -39,10 +39,13 @@ from pyspark.sql import types as T
 
 from .arrow import REMEMBERED, map_arrow
 from .kernel import slices
-from ..store import materialize, new_path
+from ..store import materialize, new_path, qualified
 
 MAGIC = b"SLBITS01"
 BLOCK_IDS = 1 << 16
+#: Bytes of rows for a shard, and shards at most.
+SHARD_BYTES = 512 << 20
+MAX_SHARDS = 1 << 18
 _TAIL = struct.Struct("<QQQQ8s")
 
 #: Pieces whose ids a worker remembers at most, and the longest of them in bytes.
@@ -274,12 +277,21 @@ MANIFEST = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField(
 ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
 
+def shard_number(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> int:
+    """Shards for the size that Spark estimates of the rows; 0 where those of a usual shuffle are enough."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n = min(-(-size // shard_bytes), MAX_SHARDS)
+    return n if n > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, out_uri: str, end_id: int | None, text_col: str = "text", id_col: str = "doc_id", block_ids: int = BLOCK_IDS) -> DataFrame:
     """Encode and write all texts below ``out_uri``; the manifest has a row for each shard, in order of ids."""
-    end = np.array([] if end_id is None else [end_id], np.uint32)
+    end, out_uri = np.array([] if end_id is None else [end_id], np.uint32), qualified(docs.sparkSession, out_uri)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     tie = F.xxhash64("text")
-    placed = rows.repartitionByRange(F.asc_nulls_first("doc_id"), tie).sortWithinPartitions(F.asc_nulls_first("doc_id"), tie, "text").withColumn("shard", F.spark_partition_id())
+    n_shards = shard_number(docs)
+    ranges = [n_shards] if n_shards else []
+    placed = rows.repartitionByRange(*ranges, F.asc_nulls_first("doc_id"), tie).sortWithinPartitions(F.asc_nulls_first("doc_id"), tie, "text").withColumn("shard", F.spark_partition_id())
 
     def write(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         encoder, writer, sink, uri, shard = open_encoder(tokenizer_path), None, None, "", 0

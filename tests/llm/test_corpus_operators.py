@@ -458,6 +458,15 @@ def test_token_output(spark):
         at += len(ids)
     assert got == want
     assert tokenbin.token_output(df.limit(0), path, 2).count() == 0
+    sized = spark.range(1 << 20)
+    assert tokenbin.shard_number(sized) == 0 and tokenbin.shard_number(sized, 1 << 13) == 1 << 10  # 8 bytes a row
+
+
+def test_shards_go_to_the_default_file_system(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    manifest = tokenbin.write_shards(df, public_tokenizers.path("word_bpe_49k.json"), f"{tmp_path}/out", 2)
+    assert all(r["uri"].startswith(f"file:{tmp_path}/out/") for r in manifest.collect())
+    assert tokenbin.read_shards(manifest).count() == 20
 
 
 @settings(max_examples=300, deadline=None)
