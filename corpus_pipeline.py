@@ -24,7 +24,7 @@ from strandlake.llm.mixing import mix_sources
 from strandlake.llm.quality import fit_rules, judge_quality
 from strandlake.llm.tokenbin import token_output
 from strandlake.session import table
-from strandlake.store import materialize
+from strandlake.store import materialize, qualified
 
 #: Appended to each document in the token output.
 END_ID = 2
@@ -67,11 +67,10 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids written as bit-packed shards, which stay, and what is read back of each document.
 
     Shards go to a new folder below the one that ``spark.strandlake.output.dir`` names, else below
-    the warehouse.
+    the warehouse; a path without a scheme is one of Hadoop's default file system.
     """
     base = spark.conf.get("spark.strandlake.output.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    base = base if "://" in base else f"file://{base.removeprefix('file:')}"
-    out = f"{base.rstrip('/')}/corpus-tokens-{uuid.uuid4().hex}"
+    out = f"{qualified(spark, base).rstrip('/')}/corpus-tokens-{uuid.uuid4().hex}"
     stored = token_output(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end_id=END_ID, out_uri=out)
     return stored.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

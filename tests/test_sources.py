@@ -139,7 +139,7 @@ def test_arrays_are_written_by_partition(spark, tmp_path):
             assert got["v"].dtype == np.float32 and got["v"].shape == (r["rows"], 2)
             assert (got["v"][:, 0] == got["id"]).all() and got["name"].tolist() == [str(i) for i in got["id"]]
     assert sinks.write_arrays(df.limit(0), ["id"], f"file://{tmp_path}/none").count() == 0
-    assert sinks.write_arrays(df, ["id"], f"{tmp_path}/plain").count() == 3  # of the default file system
+    assert sinks.write_arrays(df, ["id"], f"{tmp_path}/plain").count() == 3  # of Hadoop's default file system
 
 
 def test_paths_without_scheme_are_of_the_default_file_system(spark):
