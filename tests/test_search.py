@@ -126,3 +126,42 @@ def test_names_resolve_as_by_all_pairs(spark, least, cap):
     got = sorted((r["query_id"], r["entry_id"], r["relevance"], r["place"]) for r in found.collect())
     want = plain_resolution(spark, queries, names, least, cap)
     assert (sorted(set(got) - set(want))[:5], sorted(set(want) - set(got))[:5]) == ([], []) and got == want
+
+
+def joined_rows(df) -> list[int]:
+    """Rows out of each join of a query that has run."""
+    plan, out, todo = df._jdf.queryExecution().executedPlan(), [], []
+    todo.append(plan)
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif hasattr(p, "plan") and name.endswith("QueryStage"):
+            todo.append(p.plan())
+        if "Join" in name and p.metrics().contains("numOutputRows"):
+            out.append(p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return out
+
+
+def test_length_bands_and_cascades_make_no_row_for_each_pair_of_copies(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ACDE") for _ in range(rng.randint(3, 30))) for _ in range(12)] + [None]
+    rows = [(i, texts[i % 13]) for i in range(1300)]
+    db = spark.createDataFrame(rows, "hit_id long, hit string")
+    q = db.where("hit_id % 5 = 0").select(F.col("hit_id").alias("query_id"), F.col("hit").alias("query"))
+    want = {r["query_id"]: (r["n"], r["f"]) for r in lookups.length_band(q, db).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("hit_id").alias("f")).collect()}
+    counts = lookups.length_band_counts(q, db)
+    assert {r["query_id"]: (r["n"], r["first_hit"]) for r in counts.collect()} == want
+    assert max(joined_rows(counts)) <= 2600
+    hits = lookups.cascade(q, db)
+    got = hits.collect()
+    same = {}
+    for i, t in rows:
+        same.setdefault(t, []).append(i)
+    for r in got:
+        if r["strategy"] == 1:
+            assert r["hit_id"] == same[texts[r["query_id"] % 13]][r["place"] - 1]
+    assert len(got) == 10 * q.where("query is not null").count()
+    assert max(joined_rows(hits)) <= 2600
