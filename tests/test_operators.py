@@ -207,3 +207,13 @@ def test_negatives_are_the_same_in_any_blocks(spark, walk, monkeypatch):
     want = sorted(map(tuple, linkpred.filtered_negatives(true, known, entities, 2).collect()))
     monkeypatch.setattr(linkpred, "WALK", walk)
     assert sorted(map(tuple, linkpred.filtered_negatives(true, known, entities, 2).collect())) == want
+
+
+def test_blocks_of_vectors_are_not_shuffled_for_each_pair(spark):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(300, 4))
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, v array<double>")
+    found = simjoin.nearest(v, "id", "v", 3, "l2")
+    assert "REPARTITION" not in found._jdf.queryExecution().executedPlan().toString()
+    far = ((m[:, None] - m[None]) ** 2).sum(2) + np.diag(np.full(300, np.inf))
+    assert {(r["src"], r["dst"]) for r in found.collect()} == {(i, int(j)) for i in range(300) for j in np.argsort(far[i])[:3]}
