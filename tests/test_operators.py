@@ -217,3 +217,27 @@ def test_blocks_of_vectors_are_not_shuffled_for_each_pair(spark):
     assert "REPARTITION" not in found._jdf.queryExecution().executedPlan().toString()
     far = ((m[:, None] - m[None]) ** 2).sum(2) + np.diag(np.full(300, np.inf))
     assert {(r["src"], r["dst"]) for r in found.collect()} == {(i, int(j)) for i in range(300) for j in np.argsort(far[i])[:3]}
+
+
+def test_negatives_are_made_without_being_shuffled_or_stored(spark, monkeypatch):
+    stored = []
+
+    def count(df, label, materialize=linkpred.materialize):
+        out = materialize(df, label)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(linkpred, "materialize", count)
+    monkeypatch.setattr(linkpred, "WALK", 64)
+    entities = spark.range(0, 1000).select("id")
+    true = spark.createDataFrame([(i % 5, 7 * i % 1000) for i in range(40)], "src long, dst long").where("src <> dst").distinct()
+    known = true.unionAll(spark.createDataFrame([(0, i) for i in range(300, 700)], "src long, dst long"))
+    got = linkpred.filtered_negatives(true, known, entities, 50)
+    rows = [tuple(r) for r in got.collect()]
+    near = {(a, b) for r in known.collect() for a, b in ((r["src"], r["dst"]), (r["dst"], r["src"]))}
+    assert len(set(rows)) == len(rows) and not set(rows) & near and all(a != b for a, b in rows)
+    each = {r["src"]: r["count"] for r in true.groupBy("src").count().collect()}
+    for s, n in each.items():
+        free = sum((s, b) not in near and b != s for b in range(1000))
+        assert sum(a == s for a, _ in rows) == min(50 * n, free)
+    assert max(stored) <= 1000 < len(rows)
