@@ -241,3 +241,12 @@ def test_negatives_are_made_without_being_shuffled_or_stored(spark, monkeypatch)
         free = sum((s, b) not in near and b != s for b in range(1000))
         assert sum(a == s for a, _ in rows) == min(50 * n, free)
     assert max(stored) <= 1000 < len(rows)
+
+
+def test_vectors_are_not_copied_for_each_cell(spark):
+    rng = np.random.default_rng(6)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(200, 4)))], "id long, v array<double>")
+    found = simjoin.nearest_lsh(v, "id", "v", 3, share=1)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    want = simjoin.nearest(v, "id", "v", 3)
+    assert {(r["src"], r["dst"], r["rank"]) for r in found.collect()} == {(r["src"], r["dst"], r["rank"]) for r in want.collect()}
