@@ -349,3 +349,15 @@ def test_token_queries_are_the_libraries(spark, sf):
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert sorted(tuple(r) for r in queries.queries()["op10_token_output"](spark, f"/root/testdata/{sf}").collect()) == want
+
+
+def test_links_of_a_group_are_a_star(spark):
+    """Components of all pairs of a group come from as many ties as it has other members."""
+    from strandlake.llm import chaindedup
+    from strandlake.operators.components import connected_components
+
+    rows = [(i, [j for j in range(12) if j < i]) for i in range(12)] + [(21, [20]), (22, [21]), (30, [29, 22])]
+    held = spark.createDataFrame(rows, "uid long, partners array<long>")
+    ties = chaindedup.star_links(held, "uid", "partners")
+    assert ties.where("uid < 12").count() == 11
+    assert dict(connected_components(ties, "uid", "partner").collect()) == dict.fromkeys(range(12), 0) | dict.fromkeys((20, 21, 22, 29, 30), 20)
