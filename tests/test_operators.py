@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import align, graph, linkpred, lookups, relational, simjoin
 from strandlake.operators.components import connected_components
+from strandlake.store import materialize
 
 
 def test_null_rules(spark):
@@ -250,3 +251,23 @@ def test_vectors_are_not_copied_for_each_cell(spark):
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
     want = simjoin.nearest(v, "id", "v", 3)
     assert {(r["src"], r["dst"], r["rank"]) for r in found.collect()} == {(r["src"], r["dst"], r["rank"]) for r in want.collect()}
+
+
+def test_split_keeps_ends_without_a_triple_below_the_share(spark, monkeypatch):
+    """The first triple by hash of each end and relation is in train, at any share; least hashes are aggregated as numbers."""
+    import hashlib
+
+    rows = [(f"a{i}", "r", f"b{i % 7}") for i in range(40)] + [("a1", "s", None), (None, "s", "b2"), ("lone", "t", "pair")]
+    df = spark.createDataFrame(rows, "src string, rel string, dst string")
+    h = {r: hashlib.md5("|".join(["42", *[v for v in r if v is not None]]).encode()).hexdigest() for r in rows}
+    ends = {}
+    for r in rows:
+        for part in (r[0] and "e|" + r[0], r[2] and "e|" + r[2], "r|" + r[1]):
+            ends[part] = min(ends.get(part, "z"), h[r])
+    for share in (0.0, 0.3, 0.8):
+        want = {r: int(h[r][:8], 16) / 2**32 < share or h[r] in ends.values() for r in rows}
+        assert {tuple(r)[:3]: r[3] for r in graph.transductive_split(df.union(df), share).collect()} == want
+    kept = []
+    monkeypatch.setattr(graph, "materialize", lambda d, label: kept.append((label, d._jdf.queryExecution().executedPlan().toString())) or materialize(d, label))
+    graph.transductive_split(df).count()
+    assert "SortAggregate" not in dict(kept)["bare"]
