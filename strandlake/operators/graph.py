@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..store import materialize
+from ..store import discard, materialize
 from .relational import dense_numbers
 
 
@@ -116,14 +116,20 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 
 def k_core(edges: DataFrame, k: int) -> DataFrame:
-    """Undirected edges of the largest part in which every node has k neighbours at least."""
-    left = materialize(symmetric(edges).where(F.col("node") != F.col("neighbour")), "core")
+    """Undirected edges of the largest part in which every node has k neighbours at least.
+
+    Each pair is stored once; a round only looks for nodes to take away, and writes again what is left if there are some.
+    """
+    pairs = edges.where(F.col("src") != F.col("dst")).select(F.least("src", "dst").alias("node"), F.greatest("src", "dst").alias("neighbour"))
+    left = materialize(pairs.distinct(), "core")
     while True:
-        n = left.count()
-        keep = left.groupBy("node").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") >= k).select("node")
-        new = materialize(left.join(keep, "node", "left_semi").join(keep.withColumnRenamed("node", "neighbour"), "neighbour", "left_semi").select("node", "neighbour"), "core")
-        if new.count() == n:
-            return new.where(F.col("node") < F.col("neighbour"))
+        ends = left.select(F.explode(F.array("node", "neighbour")).alias("node"))
+        gone = materialize(ends.groupBy("node").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") < k).select("node"), "gone")
+        if gone.isEmpty():
+            return left
+        new = materialize(left.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "neighbour"), "neighbour", "left_anti").select("node", "neighbour"), "core")
+        discard(left)
+        discard(gone)
         left = new
 
 

@@ -271,3 +271,18 @@ def test_split_keeps_ends_without_a_triple_below_the_share(spark, monkeypatch):
     monkeypatch.setattr(graph, "materialize", lambda d, label: kept.append((label, d._jdf.queryExecution().executedPlan().toString())) or materialize(d, label))
     graph.transductive_split(df).count()
     assert "SortAggregate" not in dict(kept)["bare"]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4])
+def test_core_is_written_again_only_while_nodes_go(spark, monkeypatch, k):
+    """Against plain peeling; loops, repeats, directions and null ends don't count."""
+    rng = random.Random(k)
+    rows = [(rng.choice("abcdefgh"), rng.choice("abcdefghxyz")) for _ in range(22)] + [("a", "a"), ("t1", "t2"), ("t2", "t3"), ("t1", None), ("b", "a"), ("a", "b")]
+    left = {tuple(sorted(r)) for r in rows if None not in r and r[0] != r[1]}
+    rounds = 0
+    while low := {n for e in left for n in e if sum(n in x for x in left) < k}:
+        left, rounds = {e for e in left if not low & set(e)}, rounds + 1
+    kept = []
+    monkeypatch.setattr(graph, "materialize", lambda d, label: kept.append(label) or materialize(d, label))
+    assert {tuple(r) for r in graph.k_core(spark.createDataFrame(rows, "src string, dst string"), k).select("node", "neighbour").collect()} == left
+    assert kept.count("core") == rounds + 1
