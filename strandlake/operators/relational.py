@@ -80,15 +80,17 @@ def surrogate_ids(df: DataFrame, key: str, prefix: str, order: Sequence[str], na
 def dense_numbers(df: DataFrame, order: str, name: str) -> DataFrame:
     """Numbers 1, 2, ... in the order of a column of different values, without sorting in one task.
 
-    The rows are written once in range partitions; a partition starts from the rows of those before.
+    The rows are written once in sorted range partitions, each row with its place there; a partition
+    starts from the rows of those before. They are shuffled and sorted once.
     """
     from ..store import materialize
 
-    placed = materialize(df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()), "ranges")
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    base = sizes.select(F.col("_part").alias("_p"), (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_base"))  # a row for each partition
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    return placed.withColumn("_inner", inner).join(F.broadcast(base), F.col("_part") == F.col("_p")).withColumn(name, F.col("_base") + F.col("_inner")).drop("_part", "_p", "_base", "_inner")
+    row = (1 << 33) - 1  # monotonically_increasing_id has the partition above 33 bits of the row's place in it
+    placed = materialize(df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_at_row", F.monotonically_increasing_id()), "ranges")
+    part = F.shiftright("_at_row", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    base = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_base"))  # a row for each partition
+    return placed.join(F.broadcast(base), part == F.col("_part")).withColumn(name, F.col("_base") + F.col("_at_row").bitwiseAND(row) + 1).drop("_at_row", "_part", "_base")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

@@ -286,3 +286,15 @@ def test_core_is_written_again_only_while_nodes_go(spark, monkeypatch, k):
     monkeypatch.setattr(graph, "materialize", lambda d, label: kept.append(label) or materialize(d, label))
     assert {tuple(r) for r in graph.k_core(spark.createDataFrame(rows, "src string, dst string"), k).select("node", "neighbour").collect()} == left
     assert kept.count("core") == rounds + 1
+
+
+@pytest.mark.parametrize("order", ["v", "s"])
+def test_dense_numbers_need_one_shuffle(spark, order):
+    """1, 2, ... over several partitions, also by a struct; the rows are not shuffled again after they are stored."""
+    values = random.Random(3).sample(range(100_000), 5_000)
+    df = spark.createDataFrame([(v,) for v in values], "v long").withColumn("s", F.struct((F.col("v") / 2).alias("half"), "v")).repartition(7)
+    got = relational.dense_numbers(df, order, "n")
+    assert got.columns == ["v", "s", "n"]
+    assert {r["v"]: r["n"] for r in got.collect()} == {v: i + 1 for i, v in enumerate(sorted(values))}
+    assert "Window [row_number" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert relational.dense_numbers(df.limit(0), order, "n").count() == 0
