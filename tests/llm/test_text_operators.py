@@ -361,3 +361,17 @@ def test_links_of_a_group_are_a_star(spark):
     ties = chaindedup.star_links(held, "uid", "partners")
     assert ties.where("uid < 12").count() == 11
     assert dict(connected_components(ties, "uid", "partner").collect()) == dict.fromkeys(range(12), 0) | dict.fromkeys((20, 21, 22, 29, 30), 20)
+
+
+def test_ties_of_crossing_groups_are_near_a_forest(spark):
+    """Groups of several firsts that share members: as many ties as nodes, not one for each group of a member."""
+    import random
+
+    from strandlake.llm import chaindedup
+    from strandlake.operators.components import connected_components
+
+    rng = random.Random(7)
+    rows = [(i, sorted(rng.sample(range(i), min(i, 8)))) for i in range(1, 300)] + [(1001, [1000]), (1003, [1001, 1002])]
+    ties = chaindedup.star_links(spark.createDataFrame(rows, "uid long, partners array<long>"), "uid", "partners")
+    assert ties.count() < 1.25 * 302
+    assert dict(connected_components(ties, "uid", "partner").collect()) == dict.fromkeys(range(300), 0) | dict.fromkeys(range(1000, 1004), 1000)
