@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.sequences import to_number, validate_protein
 from ..operators import linkpred, relational, simjoin
 from ..operators.align import align_pairs
+from ..store import materialize
 
 
 def interpolate(tree: dict) -> dict:
@@ -88,6 +89,7 @@ def curate_interactions(raw: DataFrame, name: str, sequence: str, ligand: str, s
         "protein_issue": F.col("p.issue"),
         "smiles_issue": F.lit(None).cast("string") if smiles_issue is None else smiles_issue,
     }).drop("p")
+    checked = materialize(checked, "checked")  # both parts are of one check
     ok = F.col("protein_issue").isNull() & F.col("smiles_issue").isNull()
     return checked.where(ok), checked.where(~ok)
 

@@ -105,9 +105,9 @@ def read_sdf(spark: SparkSession, path: str, properties: Sequence[str], smiles:
     found = rows.where(F.trim(F.translate("value", "\r\n", "")) != "").select(block.alias("molblock"), *[value(p) for p in properties])
     if smiles is None:
         return found
-    from ..operators.molecules import block_molecule
+    from ..operators.molecules import block_canonical
 
-    return found.withColumn(smiles, block_molecule(F.col("molblock"))["canonical"]).where(F.col(smiles).isNotNull())
+    return found.withColumn(smiles, block_canonical(F.col("molblock"))).where(F.col(smiles).isNotNull())
 
 
 def cif_tokens(text: str) -> Iterator[tuple[bool, str]]:
