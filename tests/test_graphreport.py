@@ -116,3 +116,16 @@ def test_sampled_triangles_are_near_the_exact_number(spark, odd_graph):
         assert graphreport.sampled_triangles(df).first() == got  # the same on every run
     assert graphreport.sampled_triangles(frame(spark, [])).first()["triangles"] == 0
     assert graph.triangles(links(spark, SF)).agg({"triangles": "sum"}).first()[0] == closed
+
+
+def test_triangles_are_the_same_for_any_number_of_colours(spark, odd_graph, monkeypatch):
+    near = adjacency(odd_graph)
+    want = {a: n for a in near if (n := sum(c in near[b] for b in near[a] for c in near[a]) // 2)}
+    for size, table in ((1_000_000, 64 << 20), (40, 64 << 20), (40, 0)):
+        monkeypatch.setattr(graph, "TASK_EDGES", size)
+        monkeypatch.setattr(graph, "_TABLE", table)
+        monkeypatch.setattr(graph, "_WEDGES", 50)
+        found = graph.triangles(frame(spark, odd_graph))
+        assert {r["node"]: r["triangles"] for r in found.collect()} == want
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # pairs of edges are no rows
+    assert graph.triangles(frame(spark, [])).count() == 0
