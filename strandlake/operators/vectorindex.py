@@ -35,6 +35,8 @@ FIT_ROWS = 20_000
 CENTRE_NUMBERS = 1 << 23
 #: Rows of a cell, and queries, in a block.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 512
+#: Distances to centres, and of a block's queries to its rows, that a task holds at once.
+DISTANCES = 1 << 20
 
 
 def _rows(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -48,8 +50,13 @@ def _stack(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def _nearest(m: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
-    far = (centres * centres).sum(1)[None] - 2 * m @ centres.T
-    return np.argsort(far, axis=1, kind="stable")[:, :n]
+    """The n nearest centres of each row, by pieces of ``DISTANCES`` distances."""
+    square, found = (centres * centres).sum(1)[None], np.zeros((len(m), min(n, len(centres))), np.int64)
+    step = max(1, DISTANCES // len(centres))
+    for at in range(0, len(m), step):
+        far = square - 2 * m[at : at + step] @ centres.T
+        found[at : at + step] = far.argmin(1)[:, None] if n == 1 else np.argsort(far, axis=1, kind="stable")[:, :n]
+    return found
 
 
 def build(vectors: DataFrame, id_col: str, vector_col: str, path: str, metric: str = "cos", cells: int | None = None, subspaces: int = 16, seed: int = 42) -> None:
@@ -131,16 +138,18 @@ def search(queries: DataFrame, id_col: str, vector_col: str, path: str, k: int =
                 q = _unit(batch.column("q")[i].values.to_numpy().reshape(len(q_ids), dims), metric)
                 codes = np.frombuffer(b"".join(batch.column("codes")[i].as_py()), np.uint8).reshape(len(ids), subspaces)
                 left = np.split(q - centres[batch.column("cell")[i].as_py()], subspaces, axis=1)
-                far = np.zeros((len(q_ids), len(ids)))
-                for part, book, code in zip(left, books, codes.T, strict=True):
-                    far += ((book * book).sum(1)[None] - 2 * part @ book.T + (part * part).sum(1)[:, None])[:, code]
-                far[q_ids[:, None] == ids[None]] = np.inf
-                n = min(take, len(ids))
-                top = np.argpartition(far, n - 1, axis=1)[:, :n]
-                src, dst, rough = np.repeat(q_ids, n), ids[top.ravel()], np.take_along_axis(far, top, 1).ravel()
-                ok = src != dst
-                cell = np.full(ok.sum(), batch.column("cell")[i].as_py(), np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(src[ok]), pa.array(dst[ok]), pa.array(cell), pa.array(rough[ok])], names=["src", "dst", "cell", "rough"])
+                n, step = min(take, len(ids)), max(1, DISTANCES // len(ids))
+                for at in range(0, len(q_ids), step):
+                    asks = q_ids[at : at + step]
+                    far = np.zeros((len(asks), len(ids)))
+                    for part, book, code in zip((p[at : at + step] for p in left), books, codes.T, strict=True):
+                        far += ((book * book).sum(1)[None] - 2 * part @ book.T + (part * part).sum(1)[:, None])[:, code]
+                    far[asks[:, None] == ids[None]] = np.inf
+                    top = np.argpartition(far, n - 1, axis=1)[:, :n]
+                    src, dst, rough = np.repeat(asks, n), ids[top.ravel()], np.take_along_axis(far, top, 1).ravel()
+                    ok = src != dst
+                    cell = np.full(ok.sum(), batch.column("cell")[i].as_py(), np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(src[ok]), pa.array(dst[ok]), pa.array(cell), pa.array(rough[ok])], names=["src", "dst", "cell", "rough"])
 
     near = put.join(held, ["cell", "block"]).select("cell", "q_ids", "q", "ids", "codes").mapInArrow(score, "src long, dst long, cell int, rough double")
     rough = F.row_number().over(Window.partitionBy("src").orderBy("rough", "dst"))

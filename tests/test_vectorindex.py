@@ -61,3 +61,24 @@ def test_large_cells_and_popular_ones_are_cut(spark, tmp_path, monkeypatch):
     vectorindex.build(v, "id", "v", path, "l2", cells=2)
     got = vectorindex.search(v, "id", "v", path, 5, probes=2, rescore=100).toPandas()
     assert recall(got, simjoin.nearest(v, "id", "v", 5, "l2").toPandas()) == 1.0
+
+
+def test_nearest_centres_are_found_in_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from strandlake.operators.vectorindex import _nearest
+
+    rng = np.random.default_rng(3)
+    m, centres = rng.normal(size=(10_000, 64)), rng.normal(size=(2500, 64))
+    for n in (1, 8):
+        tracemalloc.start()
+        found = _nearest(m, centres, n)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        print(n, peak / 1e6)
+        assert peak < 64e6
+        far = (centres * centres).sum(1)[None] - 2 * m[:50] @ centres.T
+        assert (found[:50] == np.argsort(far, axis=1, kind="stable")[:, :n]).all()
+    assert _nearest(m[:0], centres, 8).shape == (0, 8) and _nearest(m[:5], centres[:3], 8).shape == (5, 3)
