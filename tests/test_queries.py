@@ -96,3 +96,17 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_rows_are_added_as_by_one_at_a_time():
+    import numpy as np
+
+    from strandlake.operators.training import _add_rows
+
+    rng = np.random.default_rng(5)
+    for n in (3, 500):
+        at, rows, one = rng.integers(0, 40, n), rng.normal(size=(n, 4)), rng.normal(size=(40, 4))
+        other = one.copy()
+        np.add.at(one, at, rows)
+        _add_rows(other, at, rows)
+        assert np.allclose(one, other, rtol=0, atol=1e-12)
