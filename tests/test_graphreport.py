@@ -11,6 +11,7 @@ from conftest import SF
 from strandlake import plans
 from strandlake.operators import graph, graphreport
 from strandlake.plans.domain import links, triples
+from strandlake.store import materialize
 
 
 def adjacency(pairs):
@@ -68,6 +69,17 @@ def test_core_numbers_of_all_triples(spark):
     assert {r["node"]: r["core"] for r in plans.QUERIES["core_numbers"](spark, SF).collect()} == exact_cores(adjacency(pairs))
 
 
+def test_core_numbers_are_the_same_for_any_number_of_parts(spark, odd_graph, monkeypatch):
+    want = exact_cores(adjacency(odd_graph))
+    for size in (4_000_000, 150):
+        monkeypatch.setattr(graphreport, "TASK_EDGES", size)
+        rounds = []
+        monkeypatch.setattr(graphreport, "materialize", lambda df, label: rounds.append(label) or materialize(df, label))
+        assert {r["node"]: r["core"] for r in graphreport.core_numbers(frame(spark, odd_graph)).collect()} == want
+        assert ("known" in rounds) == (size < 4_000_000)  # what fits a task takes no round
+        assert graphreport.dense_core(frame(spark, odd_graph), 0.2).count() == 1
+
+
 def test_dense_core(spark, odd_graph):
     near = adjacency(odd_graph)
     cores = exact_cores(near)
