@@ -301,6 +301,8 @@ def near_duplicate_classes(signed: DataFrame, threshold: float = THRESHOLD, shin
         new = mixed.join(hubs, "key").where(F.col("c") != F.col("next.c")).select(F.col("next.uid").alias("a"), F.col("next.n").alias("na"), F.col("uid").alias("b"), F.col("n").alias("nb"))
         new = _pairs(new, threshold).join(tried, ["a", "b"], "left_anti")
         tried, links = tried.union(new), links.union(verify(new, signed, shingle, threshold))
+        discard(mixed)
+        discard(hubs)
     mixed = _mixed(crowded, links)
     of_hub = mixed.select(F.col("hub.uid").alias("a"), F.col("uid").alias("b")).distinct()
     about = mixed.select(F.col("uid").alias("b"), "n", "c").distinct()
@@ -317,6 +319,7 @@ def near_duplicate_classes(signed: DataFrame, threshold: float = THRESHOLD, shin
     new = x.join(y, ["a", "token"]).where((F.col("ua") < F.col("ub")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & near)
     new = _pairs(new.select(F.col("ua").alias("a"), F.col("ub").alias("b"), "na", "nb"), threshold).join(tried, ["a", "b"], "left_anti")
     links = links.union(verify(new, signed, shingle, threshold))
+    discard(met)
     labels = connected_components(links, "a", "b")
     of = nodes.join(labels, "node", "left").select("_digest", F.coalesce("component", "node").alias("_class"))
     return signed.select("_uid", F.when(F.col("_n") > 0, F.col("_digest")).alias("_digest")).join(of, "_digest", "left").select("_uid", F.coalesce("_class", "_uid").alias("_class"))
@@ -332,12 +335,22 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
 
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``docs`` with one row of each class, that of the least id (null last)."""
+    """``docs`` with one row of each class, that of the least id (null last).
+
+    ``docs`` is read twice: the result leaves out of it what equals a dropped row in id and text, so no
+    copy of all texts stays behind. Rows that can't be told apart by id and text are left out together,
+    and those of them that stay are stored.
+    """
     others = [c for c in docs.columns if c != text_col]
-    signed = sign(docs.select(F.struct(*others).alias("_row"), F.col(text_col).alias("text")), "text", bands, rows, shingle)
-    classes = near_duplicate_classes(signed, threshold, shingle).join(signed.select("_uid", F.col(f"_row.{id_col}").alias("_id")), "_uid")
+    same = [F.xxhash64(text_col), F.crc32(text_col)]  # 96 bits, beside the id
+    signed = sign(docs.select(F.struct(*others).alias("_row"), F.col(text_col).alias("text"), F.struct(F.col(id_col).alias("id"), *[h.alias(f"h{i}") for i, h in enumerate(same)]).alias("_key")), "text", bands, rows, shingle)
+    classes = near_duplicate_classes(signed, threshold, shingle).join(signed.select("_uid", F.col("_key.id").alias("_id")), "_uid")
     kept = materialize(classes.groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_uid")).alias("first")).select(F.col("first._uid").alias("_uid")), "kept")
-    rest = signed.select("_uid", "_row", "_z").join(kept, "_uid", "left_semi").select("_row", "_z")
+    stays = signed.select("_uid", "_key").join(kept.withColumn("_stays", F.lit(1)), "_uid", "left")
+    told = stays.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.count("_stays").alias("n_stay"))
+    gone = materialize(told.where((F.col("n") > 1) | (F.col("n_stay") == 0)).select("_key.*", "n", "n_stay"), "gone")
+    alike = gone.where((F.col("n") > 1) & (F.col("n_stay") > 0)).select(F.struct(*[F.col(c) for c in ("id", "h0", "h1")]).alias("_key"))
+    rest = signed.join(alike, signed["_key"].eqNullSafe(alike["_key"]), "left_semi").join(kept, "_uid", "left_semi").select("_row", "_z")
     schema = T.StructType([rest.schema["_row"], T.StructField("_text", T.StringType())])
 
     def restore(batches: Iterator[pa.RecordBatch], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -347,5 +360,10 @@ def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str =
                 texts = [None if z is None else open_.decompress(z).decode("utf-8", "replace") for z in part.column("_z").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(texts, pa.string())], schema=arrow)
 
-    whole = map_arrow(rest, restore, schema)
-    return whole.select(*[F.col("_text").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
+    whole = materialize(map_arrow(rest, restore, schema), "alike")
+    discard(signed)
+    discard(kept)
+    again = whole.select(*[F.col("_text").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
+    row = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), *[h.alias(f"_h{i}") for i, h in enumerate(same)])
+    left = row.join(gone, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_h0") == F.col("h0")) & (F.col("_h1").eqNullSafe(F.col("h1"))), "left_anti")
+    return left.select("_row.*").unionByName(again)

@@ -537,6 +537,16 @@ def test_near_duplicates_with_clashing_names_and_long_texts(spark):
     assert kept.columns == df.columns and sorted((r["doc_id"], r["_uid"], r["_row"]) for r in kept.collect()) == [(1, "a", "a"), (3, "c", "c"), (4, "d", "d"), (4, "e", "e"), (5, "f", "f")]
 
 
+def test_dropping_near_duplicates_leaves_no_copy_of_all_texts(spark):
+    from strandlake import store
+
+    rows = [(1, "a b c d e f g", "first"), (1, "a b c d e f g", "again"), (2, "A b, c d e f g", "x"), (3, "other words of a text of its own", "y"), (None, None, "z"), (None, None, "z"), (4, "a b c d e f g", "v")]
+    before = set(store._made)
+    kept = bmh.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, x string").coalesce(1))
+    assert not [p for p in set(store._made) - before if "-signed-" in p or "-met-" in p or "-mixed-" in p]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[3], rows[4], rows[5]], key=str)
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_near_duplicate_query_against_all_pairs(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()]
