@@ -298,3 +298,12 @@ def test_dense_numbers_need_one_shuffle(spark, order):
     assert {r["v"]: r["n"] for r in got.collect()} == {v: i + 1 for i, v in enumerate(sorted(values))}
     assert "Window [row_number" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert relational.dense_numbers(df.limit(0), order, "n").count() == 0
+
+
+def test_tanimoto_join_rules_pairs_out_by_parities(spark):
+    rng = random.Random(7)
+    sets = {i: sorted(rng.sample(range(40), rng.randint(20, 30))) for i in range(60)}
+    want = {(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 0.7 * len({*sets[a]} | {*sets[b]})}
+    got = simjoin.tanimoto_join(spark.createDataFrame([*sets.items()], "id long, s array<int>"), "id", "s", 0.7)
+    assert want and {(r["id_1"], r["id_2"]) for r in got.collect()} == want
+    assert "bit_count" in got._jdf.queryExecution().optimizedPlan().toString()  # in the join, before pairs are shuffled
