@@ -301,6 +301,35 @@ def test_frequent_passages(spark, block):
     assert all(got[i]["n_links"] == 0 for i in range(2, 120, 4))
 
 
+@pytest.mark.parametrize("block", [3_000, 9_000, 1 << 20])
+def test_all_links_of_frequent_passages_are_found(spark, block):
+    """Copies of one passage with their own words exchanged: every link of all pairs is found, though all seeds are frequent."""
+    random.seed(15)
+    rnd = lambda n: [f"w{random.randrange(10**9)}" for _ in range(n)]
+    base, rows = rnd(60), []
+    for i in range(70):
+        vary = list(base)
+        for at in random.sample(range(60), 4):
+            vary[at] = f"v{i}{at}"
+        rows.append((i, " ".join([*rnd(random.randrange(5, 30)), *vary, *rnd(random.randrange(5, 30))])))
+    got = hold_against_brute(spark, rows, block)
+    assert sum(r["n_links"] for r in got.values()) == 2 * len(brute_links([t for _, t in rows]))
+
+
+def test_pairs_of_seeds_come_in_batches(monkeypatch):
+    rng = np.random.default_rng(3)
+    h, node = np.sort(rng.integers(0, 9, 300)), rng.integers(0, 25, 300)
+    node = node[np.lexsort((node, h))]
+    whole = list(chaindedup.all_pairs(h, node))
+    monkeypatch.setattr(chaindedup, "MATCHES", 40)
+    parts = list(chaindedup.all_pairs(h, node))
+    assert len(whole) == 1 < len(parts) and not list(chaindedup.all_pairs(h[:0], node[:0]))
+    pairs = lambda found: sorted((int(i), int(j)) for a, b in found for i, j in zip(a, b, strict=True))
+    assert pairs(whole) == pairs(parts)
+    later = [set(node[j].tolist()) for _, j in parts]
+    assert sum(map(len, later)) == len(set().union(*later))
+
+
 def test_passages_of_odd_rows(spark):
     random.seed(14)
     rnd = lambda n: " ".join(f"w{random.randrange(300)}" for _ in range(n))
