@@ -141,3 +141,17 @@ def test_triangles_are_the_same_for_any_number_of_colours(spark, odd_graph, monk
         assert {r["node"]: r["triangles"] for r in found.collect()} == want
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # pairs of edges are no rows
     assert graph.triangles(frame(spark, [])).count() == 0
+
+
+def test_closeness_by_groups_equals_joins(spark, odd_graph, monkeypatch):
+    """More sources than a word has bits, sources without edges, and both ways of searching."""
+    rng = random.Random(4)
+    edges = [(f"a{rng.randrange(150)}", f"a{rng.randrange(150)}") for _ in range(170)] + [("x", "x"), (None, "a1")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    sources = spark.createDataFrame([(f"a{i}",) for i in range(0, 150)] + [("x",), ("nowhere",), (None,)], "node string")
+    rows = lambda: sorted(map(str, graph.closeness(df, sources).select("node", "reached", "distance", "closeness").collect()))
+    found = rows()
+    plan = graph.closeness(df, sources)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan  # no join for each step
+    monkeypatch.setattr(graph, "SEARCH_ENDS", 0)
+    assert rows() == found and len(found) == 153
