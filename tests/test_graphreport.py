@@ -155,3 +155,12 @@ def test_closeness_by_groups_equals_joins(spark, odd_graph, monkeypatch):
     assert "CartesianProduct" in plan  # no join for each step
     monkeypatch.setattr(graph, "SEARCH_ENDS", 0)
     assert rows() == found and len(found) == 153
+
+
+def test_closeness_of_larger_graphs_is_sketched(spark, odd_graph, monkeypatch):
+    want = {r["node"]: r["closeness"] for r in graphreport.sketched_closeness(frame(spark, odd_graph)).collect()}
+    assert want == pytest.approx(exact_closeness(adjacency(odd_graph)))
+    monkeypatch.setattr(graphreport, "EXACT_STEPS", -1)
+    got = graphreport.sketched_closeness(frame(spark, odd_graph))
+    assert {r["node"]: r["closeness"] for r in got.collect()} == pytest.approx(want, rel=0.05)
+    assert graphreport.sketched_closeness(frame(spark, odd_graph).limit(0)).count() == 0
